@@ -13,6 +13,7 @@ text are ordinary characters; very long texts are whole; other columns pass thro
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -123,7 +124,7 @@ def rebuild(model: Model):
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     unk = next((i for i, x in enumerate(model.pieces) if x[2] == UNKNOWN), None)
     if model.kind == 2:
-        core = models.BPE(vocab=vocab, merges=_merges(model), unk_token=model.pieces[unk][0] if unk is not None else None, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=50_000)
+        core = models.BPE(vocab=vocab, merges=_merges(model), unk_token=model.pieces[unk][0] if unk is not None else None, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=0)
     else:
         least = min((s for _, s, k in model.pieces if k == NORMAL), default=0.0) - 20
         core = models.Unigram([(p, s if k in (NORMAL, USER) else least) for p, s, k in model.pieces], unk_id=unk, byte_fallback=model.byte_fallback)
@@ -178,10 +179,13 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+#: Threads a worker encodes with. More than an executor has cores for a task only contend.
+THREADS = 2
 
 
 def codec(data: bytes) -> Codec:
     """The worker's codec of a model, made once."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))  # read when the library starts its threads
     key = hashlib.sha256(data).hexdigest()
     if key not in _codecs:
         _codecs.clear()
