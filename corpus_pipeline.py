@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specmatch.llm import near_dedup, quality_classifier, sentencepiece_codec
+from specmatch.llm import mixing, near_dedup, quality_classifier, sentencepiece_codec, suffix_dedup
 from specmatch.session import shared_dir
 
 STAGES = [
     ("quality_classifier", quality_classifier.stage),
     ("minhash_near_dedup", near_dedup.stage),
+    ("suffix_array_dedup", suffix_dedup.stage),
+    ("source_mixing", mixing.stage),
     ("sentencepiece", sentencepiece_codec.stage),
 ]
 #: The stages train a classifier, confirm similarity on hashed sets and run a tokenizer: not SQL; tests hold them to brute force.

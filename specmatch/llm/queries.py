@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from specmatch.llm import fingerprint, near_dedup, quality_classifier, quality_rules, sentencepiece_codec
+from specmatch.llm import fingerprint, license_scan, lm_scoring, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, sharding, suffix_dedup
 
 QUERIES = {
     "op1_edit_fingerprint": fingerprint.query,
+    "op2_license_scan": license_scan.query,
     "op3_sentencepiece": sentencepiece_codec.query,
+    "op4_tiered_sharding": sharding.query,
+    "op5_source_mixing": mixing.query,
+    "op6_suffix_dedup": suffix_dedup.query,
+    "op7_kneser_ney": lm_scoring.query,
     "op8_minhash": near_dedup.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_quality_rules": quality_rules.query,
 }
-ORACLES = {"op10_quality_rules": quality_rules.ORACLE}
+#: The others fit models, hash, sort suffixes, run tokenizers or write files; tests hold them to brute force.
+ORACLES = {"op5_source_mixing": mixing.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
