@@ -3,14 +3,14 @@
 1. Sampling: every window of 400 bytes chooses the 64-byte substring in it with the least hash, its anchor (a choice by content,
    so equal windows choose equal anchors at equal offsets). Neighbouring windows share an anchor; together they
    cover a span. About one position in 170 is an anchor.
-2. Naming: equal spans get equal names (128-bit hashes), counted by Spark. A span that occurs twice is
+2. Naming: equal spans get equal names (64 bits of the anchor's hash and 64 of the span's), counted by Spark. A span that occurs twice is
    repeated as a whole; an anchor whose content occurs once has no repeated window. Neither is sorted.
 3. Sorting: what is left are different spans about equal anchors, a part of the text. They are dealt by anchor content, so equal
    windows meet; parts whose core occurs in one span only are left out, and the suffixes of the rest are put in order
    by external induced sorting (``induced_sort``), whose common-prefix values of 400 mark the repeated windows.
 4. Marked windows go back to their documents, are merged to maximal runs, and their bytes are removed.
 
-All occurrences are removed, the first too; strings are judged on the input. Equality is that of 128-bit
+All occurrences are removed, the first too; strings are judged on the input. Equality is that of both
 hashes in step 2 and of 64-bit substring hashes in the sorter's common prefixes.
 
 Edge cases: null counts as empty; texts under 400 bytes are untouched; repeated rows are repeated text and are removed; texts
@@ -40,6 +40,8 @@ _SEGMENT = 2 << 20
 _LOW = U64((1 << 22) - 1)
 #: Parts of an anchor's window offsets whose cores are compared before sorting.
 _PARTS = 8
+#: A span's place in one number: its first window, number of windows (9 bits) and anchor's offset (9 bits).
+_PLACE = 18
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -95,9 +97,10 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(text):
             continue
         view = memoryview(np.ascontiguousarray(data))
-        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
+        name = np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), strict=True)], U64)
         uid = np.asarray(batch.column(0))[text]
-        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(key.astype(np.int64)), pa.array(np.ascontiguousarray(digest[:, 0])), pa.array(np.ascontiguousarray(digest[:, 1])), pa.array(first - at[text] + base), pa.array(n.astype(np.int32)), pa.array(offset.astype(np.int32))], names=["uid", "key", "s1", "s2", "lo", "n", "off"])
+        place = (first - at[text] + base) << _PLACE | n << 9 | offset
+        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(key.astype(np.int64)), pa.array(name.astype(np.int64)), pa.array(place)], names=["uid", "key", "name", "place"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,14 +217,14 @@ def _sort(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[p
 
 def repeated_intervals(texts: DataFrame) -> DataFrame:
     """(uid, lo, hi) byte intervals that repeated windows cover, from (uid, text) rows. Intervals may overlap."""
-    named = cut(texts.mapInArrow(_name, "uid long, key long, s1 long, s2 long, lo long, n int, off int"))
-    # every value of a group but uid and lo is the same; first() takes uid and lo from one row
-    counted = named.groupBy("key", "s1", "s2").agg(F.count("*").alias("c"), F.first("uid").alias("uid"), F.first("lo").alias("lo"), F.first("n").alias("n"), F.first("off").alias("off"))
-    counted = cut(counted)
+    named = cut(texts.mapInArrow(_name, "uid long, key long, name long, place long"))
+    # first() takes uid and place from one row
+    counted = cut(named.groupBy("key", "name").agg(F.count("*").alias("c"), F.first("uid").alias("uid"), F.first("place").alias("place")))
+    lo, n, off = F.shiftright("place", _PLACE), F.shiftright("place", 9).bitwiseAND(F.lit(511)), F.col("place").bitwiseAND(F.lit(511))
     keys = counted.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("key")
-    whole = named.join(counted.where("c > 1").select("key", "s1", "s2"), ["key", "s1", "s2"]).select("uid", "lo", (F.col("lo") + F.col("n") + F.lit(WINDOW - 1)).alias("hi"))
-    open_ = counted.join(keys, "key").select("uid", F.struct("key", "c", "lo", "n", "off").alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
-    contexts = texts.join(open_, "uid").select("uid", "text", "spans").mapInArrow(_contexts, "key long, uid long, c long, lo long, n int, off int, ctx binary")
+    whole = named.join(counted.where("c > 1").select("key", "name"), ["key", "name"]).select("uid", lo.alias("lo"), (lo + n + F.lit(WINDOW - 1)).alias("hi"))
+    open_ = counted.join(keys, "key").select("uid", F.struct("key", "c", lo.alias("lo"), n.alias("n"), off.alias("off")).alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
+    contexts = texts.join(open_, "uid").select("uid", "text", "spans").mapInArrow(_contexts, "key long, uid long, c long, lo long, n long, off long, ctx binary")
     sorted_ = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort, "uid long, lo long, hi long")
     return whole.unionByName(sorted_)
 
