@@ -149,3 +149,17 @@ def scale_arrays(id1: np.ndarray, id2: np.ndarray, ll: np.ndarray, s: Sinkhorn,
     return w[:real], p[:real], p0[r[:real]]
 
 
+
+
+def sinkhorn_auto(edges: DataFrame, s: Sinkhorn, null: float | None, score: str = "ll", most: int = 2_000_000) -> DataFrame:
+    """One task scales a pair of up to ``most`` edges (some 50 MB) with the exact stopping rule; above it, the cluster does."""
+    if edges.count() > most:
+        return sinkhorn(edges, s, null, score)
+
+    def scale(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["id1", "id2"], kind="stable")
+        w, p, p0 = scale_arrays(pdf["id1"].to_numpy(), pdf["id2"].to_numpy(), pdf["ll"].to_numpy(float), s, 0.0, null)
+        return pd.DataFrame({"id1": pdf["id1"].to_numpy(), "id2": pdf["id2"].to_numpy(), "ot_weight": w, "p_row_ot": p, "p0_ot": p0})
+
+    slim = edges.select(F.lit(0).alias("g"), "id1", "id2", F.col(score).alias("ll"))
+    return edges.join(slim.groupBy("g").applyInPandas(scale, "id1 long, id2 long, ot_weight double, p_row_ot double, p0_ot double"), ["id1", "id2"])
