@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from specmatch.session import cut
 
-_ROW = Window.partitionBy("id1")
+def _row() -> Window:
+    return Window.partitionBy("id1")
 
 
 def top_k(edges: DataFrame, k: int, score: str = "ll") -> DataFrame:
     """The k best edges of each left row; ties by mz2 and id2."""
-    w = _ROW.orderBy(F.col(score).desc_nulls_last(), "mz2", "id2")
+    w = _row().orderBy(F.col(score).desc_nulls_last(), "mz2", "id2")
     return edges.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
@@ -27,9 +28,9 @@ def null_loglik(edges: DataFrame, quantile: float = 0.2, score: str = "ll") -> f
 
 def row_softmax(edges: DataFrame, null: float | None, temperature: float = 1.0, score: str = "ll") -> DataFrame:
     """``p_row`` and ``p0`` of each edge: the null option counts in the denominator, not in the row's maximum."""
-    e = edges.withColumn("_top", F.max(score).over(_ROW)).withColumn("_e", F.exp((F.col(score) - F.col("_top")) / temperature))
+    e = edges.withColumn("_top", F.max(score).over(_row())).withColumn("_e", F.exp((F.col(score) - F.col("_top")) / temperature))
     none = F.lit(0.0) if null is None else F.exp((F.lit(null) - F.col("_top")) / temperature)
-    e = e.withColumn("_z", F.sum("_e").over(_ROW) + none)
+    e = e.withColumn("_z", F.sum("_e").over(_row()) + none)
     return e.withColumn("p_row", F.col("_e") / F.col("_z")).withColumn("p0", none / F.col("_z")).drop("_top", "_e", "_z")
 
 
@@ -56,7 +57,7 @@ def _kernel(edges: DataFrame, s: Sinkhorn, null: float | None, score: str) -> Da
     real = edges.select("id1", "id2", F.col(score).alias("ll"))
     if s.null_mass is not None:
         real = real.unionByName(edges.select("id1").distinct().select("id1", F.lit(-1).cast("long").alias("id2"), F.lit(null).alias("ll")))
-    return real.withColumn("k", F.exp((F.col("ll") - F.max("ll").over(_ROW)) / s.epsilon)).drop("ll")
+    return real.withColumn("k", F.exp((F.col("ll") - F.max("ll").over(_row())) / s.epsilon)).drop("ll")
 
 
 def sinkhorn(edges: DataFrame, s: Sinkhorn, null: float | None = None, score: str = "ll") -> DataFrame:
@@ -92,8 +93,8 @@ def sinkhorn(edges: DataFrame, s: Sinkhorn, null: float | None = None, score: st
 
 
 def _normalise(edges: DataFrame, w: DataFrame) -> DataFrame:
-    total = F.sum("ot_weight").over(_ROW)
-    w = w.withColumn("p_row_ot", F.when(total > 0, F.col("ot_weight") / total).otherwise(0.0)).withColumn("p0_ot", F.coalesce(F.max(F.when(F.col("id2") < 0, F.col("p_row_ot"))).over(_ROW), F.lit(0.0)))
+    total = F.sum("ot_weight").over(_row())
+    w = w.withColumn("p_row_ot", F.when(total > 0, F.col("ot_weight") / total).otherwise(0.0)).withColumn("p0_ot", F.coalesce(F.max(F.when(F.col("id2") < 0, F.col("p_row_ot"))).over(_row()), F.lit(0.0)))
     return edges.join(w.where("id2 >= 0"), ["id1", "id2"])
 
 

@@ -36,13 +36,19 @@ def shared_pairs(names: DataFrame) -> DataFrame:
     return a.join(b, "name").where("analysis_1 < analysis_2").select("analysis_1", "analysis_2", "name")
 
 
-def resolve_intensity(analyses: DataFrame, mode: str = "auto") -> tuple[bool, str]:
-    """Whether a group's intensities compare: always, never, or if all are raw-like and from one instrument type."""
-    if mode in ("on", "off"):
-        return mode == "on", f"forced_{mode}"
-    if mode != "auto":
-        raise ValueError(f"unsupported intensity mode: {mode!r}")
-    scales, n = analyses.agg(F.collect_set("value_scale"), F.countDistinct("instrument_type")).first()
-    if set(scales) != {"raw_like"}:
-        return False, "value_scale_not_raw_like"
-    return (True, "raw_like_single_instrument") if n == 1 else (False, "mixed_instrument_types")
+def resolve_intensity(analyses: DataFrame, mode: str = "off") -> tuple[bool, str, str]:
+    """(use, standardisation, reason): whether a group's intensities compare. ``auto`` asks for raw-like values of one
+    family of instruments; any other word than on and auto is off."""
+    mode = (mode or "off").strip().lower()
+    if mode not in ("on", "auto"):
+        return False, "none", "use_intensity_off"
+    if mode == "on":
+        return True, "robust_zscore", "use_intensity_on"
+    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    scales, instruments = analyses.agg(F.collect_set(low("value_scale")), F.countDistinct(F.when(low("instrument_type") != "", low("instrument_type")))).first()
+    for bad, reason in ((("log_transformed", "scaled"), "scaled_or_log_values"), (("normalized",), "normalized_values"), (("unknown",), "unknown_value_scale")):
+        if set(bad) & set(scales):
+            return False, "none", f"auto_disabled_{reason}"
+    if instruments > 1:
+        return False, "none", "auto_disabled_mixed_instrument_families"
+    return True, "robust_zscore", "auto_enabled_raw_like_single_instrument_family"

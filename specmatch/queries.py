@@ -610,3 +610,57 @@ def _(spark, d):
 
     x = expression(spark, d).select((F.col("feature_id") % 200).alias("cluster_id"), (F.col("sample_id") % 2).alias("outcome"), F.col("v"))
     return hedges_g(x).where("hedges_g IS NOT NULL").select("cluster_id", micro(F.col("hedges_g")).alias("g"), micro(F.col("se")).alias("se"))
+
+
+# --- whole plans and iterative fits: no SQL equivalent; tests hold them to numpy and to the known truth ----------------
+
+
+@register("match_default")
+def _(spark, d):
+    from specmatch.plans.match import match_features
+
+    a, b = (x.select("id", F.col("mz").alias("MZ"), F.col("rt").alias("RT")) for x in pair(spark, d))
+    return match_features(a, b).top1.select("id1", "id2", "decision", "prob_raw", "margin", "p_null", "top1_source")
+
+
+@register("huber_drift")
+def _(spark, d):
+    from specmatch.operators import drift
+
+    p = bandjoin.mutual(*pair(spark, d), 7.0).withColumn("ppm", C.ppm_over_mean(F.col("mz1"), F.col("mz2")))
+    fit = drift.robust_linear(p, "mz1", "ppm")
+    return spark.createDataFrame([(fit.slope, fit.intercept)], "slope double, intercept double")
+
+
+@register("lowess_drift")
+def _(spark, d):
+    from specmatch.operators import drift
+
+    p = bandjoin.mutual(*pair(spark, d), 7.0).withColumn("ppm", C.ppm_over_mean(F.col("mz1"), F.col("mz2")))
+    return spark.createDataFrame(list(drift.lowess(p, "mz1", "ppm", 10).knots), "mz double, ppm_fit double")
+
+
+@register("ransac_transfer")
+def _(spark, d):
+    from specmatch.operators.align import infer_transfer
+    from specmatch.plans.config import MatchConfig
+
+    t = infer_transfer(*pair(spark, d), MatchConfig())
+    return spark.createDataFrame([(t.policy, t.scale, t.offset, t.n_anchors, t.n_inliers)], "policy string, scale double, offset double, n_anchors long, n_inliers long")
+
+
+@register("neutral_masses")
+def _(spark, d):
+    f = ions(spark, d)
+    return adducts.neutral_masses(f.select("id", "mz"), adducts.adduct_groups(f, adducts.adduct_edges(f)))
+
+
+@register("stable_graph")
+def _(spark, d):
+    import numpy as np
+
+    x, n = narrow(spark, d)
+    samples = [r[0] for r in x.select("sample_id").distinct().orderBy("sample_id").collect()]
+    rng = np.random.default_rng(0)
+    drawn = [(k, int(s)) for k in range(5) for s in rng.choice(samples, int(0.8 * n), replace=True)]
+    return structure.stable(x, 5, spark.createDataFrame(drawn, "boot_id int, sample_id long"), 5, 3)
