@@ -36,7 +36,7 @@ from specmatch.llm.textvec import U64, pieces, prefix_hash, span_hash, utf8
 from specmatch.session import cut
 
 WINDOW, GRAM = 400, 64
-_SEGMENT = 2 << 20
+_SEGMENT = 1 << 20
 _LOW = U64((1 << 22) - 1)
 #: Parts of an anchor's window offsets whose cores are compared before sorting.
 _PARTS = 8

@@ -46,7 +46,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of text; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -57,6 +57,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2 << 20)
             high = max(low + 1, int(np.searchsorted(at, at[low] + limit, "right")) - 1)
             yield batch.slice(low, high - low)
             low = high
+    pa.default_memory_pool().release_unused()  # the worker lives on beside others
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
