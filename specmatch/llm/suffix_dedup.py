@@ -4,7 +4,8 @@
    so equal windows choose equal anchors at equal offsets). Neighbouring windows share an anchor; together they
    cover a span. About one position in 170 is an anchor.
 2. Naming: equal spans get equal names (64 bits of the anchor's hash and 64 of the span's), counted by Spark. A span that occurs twice is
-   repeated as a whole; an anchor whose content occurs once has no repeated window. Neither is sorted.
+   repeated as a whole; an anchor whose content occurs once has no repeated window. Neither is sorted. Equal spans that follow
+   each other (a phrase said over and over) are one row with their number, so periodic text costs a row, not one a period.
 3. Sorting: what is left are different spans about equal anchors, a part of the text. They are dealt by anchor content, so equal
    windows meet; parts whose core occurs in one span only are left out, and the suffixes of the rest are put in order
    by external induced sorting (``induced_sort``), whose common-prefix values of 400 mark the repeated windows.
@@ -40,8 +41,9 @@ _SEGMENT = 1 << 20
 _LOW = U64((1 << 22) - 1)
 #: Parts of an anchor's window offsets whose cores are compared before sorting.
 _PARTS = 8
-#: A span's place in one number: its first window, number of windows (9 bits) and anchor's offset (9 bits).
-_PLACE = 18
+#: A span's place in one number: its first window (31 bits), times it follows itself (14), number of windows (9) and anchor's offset (9).
+_FIRST, _TIMES = 32, 18
+_MOST_TIMES = (1 << 14) - 1
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -91,6 +93,15 @@ def _segments(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[
                 yield batch.slice(i, 1), part, np.array([0, len(part)]), low
 
 
+def _runs(text: np.ndarray, first: np.ndarray, n: np.ndarray, key: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that begin a run of equal spans, each where the one before ends, and the length of the run (longer runs than a place can hold are several)."""
+    same = (text[1:] == text[:-1]) & (key[1:] == key[:-1]) & (name[1:] == name[:-1]) & (n[1:] == n[:-1]) & (first[1:] == (first + n)[:-1])
+    start = np.flatnonzero(np.concatenate([[True], ~same]))
+    rank = np.arange(len(text)) - np.repeat(start, np.diff(np.append(start, len(text))))
+    head = np.flatnonzero(rank % _MOST_TIMES == 0)
+    return head, np.diff(np.append(head, len(text)))
+
+
 def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, data, at, base in _segments(batches, "text"):
         text, first, n, offset, key = spans(data, at)
@@ -99,8 +110,9 @@ def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = memoryview(np.ascontiguousarray(data))
         name = np.array([xxhash.xxh3_64_intdigest(view[s:e]) for s, e in zip(first.tolist(), (first + n + WINDOW - 1).tolist(), strict=True)], U64)
         uid = np.asarray(batch.column(0))[text]
-        place = (first - at[text] + base) << _PLACE | n << 9 | offset
-        yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(key.astype(np.int64)), pa.array(name.astype(np.int64)), pa.array(place)], names=["uid", "key", "name", "place"])
+        head, times = _runs(text, first, n, key, name)
+        place = (first - at[text] + base)[head] << _FIRST | times << _TIMES | n[head] << 9 | offset[head]
+        yield pa.RecordBatch.from_arrays([pa.array(uid[head]), pa.array(key[head].astype(np.int64)), pa.array(name[head].astype(np.int64)), pa.array(place)], names=["uid", "key", "name", "place"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,11 +230,12 @@ def _sort(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[p
 def repeated_intervals(texts: DataFrame) -> DataFrame:
     """(uid, lo, hi) byte intervals that repeated windows cover, from (uid, text) rows. Intervals may overlap."""
     named = cut(texts.mapInArrow(_name, "uid long, key long, name long, place long"))
+    lo, n, off = F.shiftright("place", _FIRST), F.shiftright("place", 9).bitwiseAND(F.lit(511)), F.col("place").bitwiseAND(F.lit(511))
+    times = F.shiftright("place", _TIMES).bitwiseAND(F.lit(_MOST_TIMES))
     # first() takes uid and place from one row
-    counted = cut(named.groupBy("key", "name").agg(F.count("*").alias("c"), F.first("uid").alias("uid"), F.first("place").alias("place")))
-    lo, n, off = F.shiftright("place", _PLACE), F.shiftright("place", 9).bitwiseAND(F.lit(511)), F.col("place").bitwiseAND(F.lit(511))
+    counted = cut(named.groupBy("key", "name").agg(F.sum(times).alias("c"), F.first("uid").alias("uid"), F.first("place").alias("place")))
     keys = counted.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("key")
-    whole = named.join(counted.where("c > 1").select("key", "name"), ["key", "name"]).select("uid", lo.alias("lo"), (lo + n + F.lit(WINDOW - 1)).alias("hi"))
+    whole = named.join(counted.where("c > 1").select("key", "name"), ["key", "name"]).select("uid", lo.alias("lo"), (lo + n * times + F.lit(WINDOW - 1)).alias("hi"))
     open_ = counted.join(keys, "key").select("uid", F.struct("key", "c", lo.alias("lo"), n.alias("n"), off.alias("off")).alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
     contexts = texts.join(open_, "uid").select("uid", "text", "spans").mapInArrow(_contexts, "key long, uid long, c long, lo long, n long, off long, ctx binary")
     sorted_ = contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort, "uid long, lo long, hi long")
