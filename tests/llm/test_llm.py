@@ -282,6 +282,25 @@ def test_suffix_dedup_edges(spark, edges, empty, monkeypatch):
     assert suffix_dedup.removed(empty).count() == 0
 
 
+def test_suffix_dedup_periodic_texts(spark):
+    phrase = "the same short phrase again and again "
+    rows = ["a" * 20_000, "b" * 399 + "a" * 500, phrase * 60, "x" + phrase * 25 + "y", phrase[7:] * 11, ("é" * 90 + phrase) * 12, "unlike the others " + "".join(map(str, range(400)))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert shown(suffix_dedup.removed(df)) == brute_dedup([r.encode() for r in rows])
+
+
+def test_runs_of_equal_spans():
+    name = np.array([5, 5, 5, 5, 6, 5, 5, 5], np.uint64)
+    first, n = np.arange(0, 16, 2), np.full(8, 2)
+    first[7] += 1  # not where the span before it ends
+    text = np.array([0, 0, 0, 0, 0, 0, 0, 0])
+    head, times = suffix_dedup._runs(text, first, n, name, name)
+    assert head.tolist() == [0, 4, 5, 7] and times.tolist() == [4, 1, 2, 1]
+    many = np.zeros(40_000, np.int64)
+    head, times = suffix_dedup._runs(many, np.arange(40_000), many + 1, many, many)
+    assert times.max() == suffix_dedup._MOST_TIMES and times.sum() == 40_000 and len(head) == 3
+
+
 def _spans(batch, segment):
     suffix_dedup._SEGMENT = segment
     for b, data, at, base in suffix_dedup._segments(iter([batch]), "text"):
