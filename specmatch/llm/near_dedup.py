@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specmatch.llm.textvec import LOWER, U64, mix, pieces, prefix_hash, span_hash, utf8, words
+from specmatch.llm.textvec import LOWER, U64, mix, pieces, prefix_hash, small_batches, span_hash, utf8, words
 from specmatch.operators.components import connected_components
 from specmatch.session import cut
 
@@ -175,6 +175,7 @@ def confirm(keys: list[int], sets: list[np.ndarray], num: int, den: int) -> list
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 85, den: int = 100, coords: int = 64, matches: int = 38) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row of ``docs``; ``set_key`` names the class of equal sets."""
+    small_batches(docs.sparkSession)
     ratio = num / den
     prefix = coords - matches + 1
 

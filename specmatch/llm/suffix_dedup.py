@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specmatch.llm.induced_sort import suffix_order
-from specmatch.llm.textvec import U64, pieces, prefix_hash, span_hash, utf8
+from specmatch.llm.textvec import U64, pieces, prefix_hash, small_batches, span_hash, utf8
 from specmatch.session import cut
 
 WINDOW, GRAM = 400, 64
@@ -196,7 +196,7 @@ def repeated(key: np.ndarray, n: np.ndarray, off: np.ndarray, data: np.ndarray,
     return rows[r], low[r] + first - place[r], low[r] + last - place[r]
 
 
-def _sort(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _sort(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of spans in order of key to runs of repeated windows of the spans that occur once. Whole keys are sorted together, several at a time."""
     held: list[pa.RecordBatch] = []
     size = 0
@@ -248,6 +248,7 @@ def _uid(docs: DataFrame, id_col: str, text_col: str):
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes gone from its text, and _n_bytes, _n_removed, _n_spans, _kept_sha256."""
+    small_batches(docs.sparkSession)
     new = ("_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")
     base = docs.drop(*new, "_uid", "_runs")
     texts = base.select(_uid(base, id_col, text_col).alias("uid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
