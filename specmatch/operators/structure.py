@@ -12,6 +12,13 @@ def standardise(expr: DataFrame) -> DataFrame:
     return expr.join(stat, "feature_id").select("sample_id", "feature_id", ((F.col("v") - F.col("_m")) / F.when(F.col("_s") > 1e-8, F.col("_s")).otherwise(1.0)).alias("z"))
 
 
+def ranked(expr: DataFrame) -> DataFrame:
+    """Values of a feature as their average ranks over its samples, for correlation by rank."""
+    w = Window.partitionBy("feature_id")
+    place = F.rank().over(w.orderBy("v")) + (F.count("*").over(Window.partitionBy("feature_id", "v")) - 1) / 2
+    return expr.where("v IS NOT NULL").select("sample_id", "feature_id", place.cast("double").alias("v"))
+
+
 def correlate(z: DataFrame, pairs: DataFrame, n_samples: int) -> DataFrame:
     """``r`` of the given feature pairs (i, j): sums of products over shared samples."""
     zi, zj = z.select(F.col("feature_id").alias("i"), "sample_id", F.col("z").alias("zi")), z.select(F.col("feature_id").alias("j"), "sample_id", F.col("z").alias("zj"))
@@ -65,13 +72,33 @@ def stable(expr: DataFrame, k: int, draws: DataFrame, n_boot: int, least: int) -
     return top.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("w").alias("w")).where(F.col("n") >= least)
 
 
-def structure_bonus(edges: DataFrame, g1: DataFrame, g2: DataFrame, p: str = "p_row_ot", mode: str = "mass") -> DataFrame:
-    """``struct_bonus`` of each edge (i, j): the mass that neighbours of i send to neighbours of j, a sparse triple product."""
-    if mode not in ("mass", "logmass"):
+def structure_bonus(edges: DataFrame, g1: DataFrame, g2: DataFrame, p: str = "p_row_ot", mode: str = "mass", eps: float = 1e-8, ids1: DataFrame | None = None, ids2: DataFrame | None = None) -> DataFrame:
+    """``struct_bonus`` of each edge (i, j): the mass that neighbours of i send to neighbours of j, a sparse triple product.
+
+    ``logmass`` is its logarithm. ``gw`` is minus the squared difference of both neighbourhoods, in units of a typical feature's sum of
+    squared weights; ``ids1``, ``ids2`` (id) name the features that it is typical of (else: those with neighbours).
+    """
+    if mode not in ("mass", "logmass", "gw"):
         raise ValueError(f"unsupported structure_bonus_mode: {mode!r}")
     e = edges.select("id1", "id2")
     sent = edges.where(F.col(p) > 0).select(F.col("id1").alias("k"), F.col("id2").alias("l"), F.col(p).alias("_p"))
     got = e.join(g1.select(F.col("i").alias("id1"), F.col("j").alias("k"), F.col("w").alias("w1")), "id1").join(sent, "k").join(g2.select(F.col("i").alias("id2"), F.col("j").alias("l"), F.col("w").alias("w2")), ["id2", "l"])
     mass = got.groupBy("id1", "id2").agg(F.sum(F.col("w1") * F.col("_p") * F.col("w2")).alias("_m"))
     out = edges.join(mass, ["id1", "id2"], "left").withColumn("struct_bonus", F.coalesce("_m", F.lit(0.0))).drop("_m")
-    return out if mode == "mass" else out.withColumn("struct_bonus", F.ln(F.col("struct_bonus") + 1e-8))
+    if mode == "gw":
+        typical = 0.0
+        for side, g, ids in (("1", g1, ids1), ("2", g2, ids2)):
+            square = g.groupBy(F.col("i").alias(f"id{side}")).agg(F.sum(F.col("w") * F.col("w")).alias(f"_q{side}"))
+            every = square if ids is None else ids.select(F.col("id").alias(f"id{side}")).join(square, f"id{side}", "left")
+            typical += 0.5 * (every.agg(F.percentile(F.coalesce(f"_q{side}", F.lit(0.0)), 0.5)).first()[0] or 0.0)
+            out = out.join(square, f"id{side}", "left")
+        cost = F.coalesce("_q1", F.lit(0.0)) + F.coalesce("_q2", F.lit(0.0)) - 2.0 * F.col("struct_bonus")
+        return out.withColumn("struct_bonus", -cost / max(typical, eps)).drop("_q1", "_q2")
+    return out if mode == "mass" else out.withColumn("struct_bonus", F.ln(F.col("struct_bonus") + eps))
+
+
+def adaptive_weight(edges: DataFrame, tau: float, gamma: float, p: str = "p_row_ot") -> DataFrame:
+    """``_trust`` of each edge: how much structure may say in its row, less the further the row's best option leads its second."""
+    two = F.slice(F.sort_array(F.collect_list(F.col(p)).over(Window.partitionBy("id1")), False), 1, 2)
+    lead = F.element_at(two, 1) - F.when(F.size(two) > 1, F.element_at(two, -1)).otherwise(0.0)
+    return edges.withColumn("_trust", F.pow(1.0 / (1.0 + F.greatest(lead, F.lit(0.0)) / tau), gamma))

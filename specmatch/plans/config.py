@@ -19,6 +19,7 @@ CHOICES = {
     "rt_transferability": ("off", "auto"),
     "retention_nontransferable_policy": ("soft", "disable"),
     "structure_graph": ("knn", "stable", "local_rt"),
+    "structure_corr": ("pearson", "spearman"),
     "top1_policy": ("ot", "local", "hybrid"),
     "polarity": ("positive", "negative"),
     "mz_semantics_study_a": ("auto", "ion_mz", "neutral_mass"),

@@ -197,14 +197,20 @@ def match_features(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig(),
     graphs = _graphs(a, b, expr_a, expr_b, cfg, graph) if bonus else None
     edges = cand.withColumn("struct_bonus", F.lit(0.0)).withColumn("loglik_total", F.col("loglik_local"))
     null = None
-    for i in range(cfg.structure_iters + 1 if graphs else 1):
+    passes = max(cfg.structure_iters, 1) if graphs else 1
+    for i in range(passes):
+        annealed = bool(graphs) and cfg.structure_anneal and passes > 1
+        t = i / max(passes - 1, 1)
+        eps = cfg.ot_epsilon * (max(cfg.structure_ot_epsilon_mult_start, 1.0) * (1.0 - t) + t) if annealed else None
         kept = cut(transport.top_k(edges, cfg.candidate_top_k_per_id1, "loglik_total"))
-        solved, null = transport_edges(kept, cfg, "loglik_total")
+        solved, null = transport_edges(kept, cfg, "loglik_total", eps)
         solved = cut(solved)
-        if graphs and i < cfg.structure_iters:
-            ramp = (i + 1) / cfg.structure_iters if cfg.structure_alpha_ramp else 1.0
-            mass = structure.structure_bonus(solved, *graphs, mode=cfg.structure_bonus_mode)
-            edges = cand.join(mass.select("id1", "id2", "struct_bonus"), ["id1", "id2"], "left").withColumn("struct_bonus", F.coalesce("struct_bonus", F.lit(0.0))).withColumn("loglik_total", F.col("loglik_local") + F.lit(alpha * ramp) * F.col("struct_bonus"))
+        if graphs and i < passes - 1:
+            ramp = (i + 1) / (passes - 1) if annealed and cfg.structure_alpha_ramp else 1.0
+            mass = structure.structure_bonus(solved, *graphs, mode=cfg.structure_bonus_mode, eps=cfg.structure_eps, ids1=a.select("id"), ids2=b.select("id"))
+            adaptive = cfg.structure_adaptive_alpha and cfg.structure_margin_tau > 0
+            mass = structure.adaptive_weight(mass, cfg.structure_margin_tau, cfg.structure_margin_gamma) if adaptive else mass.withColumn("_trust", F.lit(1.0))
+            edges = mass.withColumn("loglik_total", F.col("loglik_local") + F.lit(alpha * ramp) * F.col("_trust") * F.col("struct_bonus")).select(*kept.columns)
     local = transport.row_softmax(solved, null, 1.0, "loglik_total").withColumnRenamed("p_row", "p_row_local").withColumnRenamed("p0", "p0_local")
     for name, p, p0 in (("local", "p_row_local", "p0_local"), ("ot", "p_row_ot", "p0_ot")):
         h = transport.row_entropy(local, p, p0).select("id1", F.col("entropy").alias(f"row_entropy_{name}"), F.col("neff").alias(f"row_neff_{name}"))
@@ -231,6 +237,8 @@ def match_features(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig(),
 def _graphs(a: DataFrame, b: DataFrame, expr_a: DataFrame, expr_b: DataFrame, cfg: MatchConfig, kind: str) -> tuple[DataFrame, DataFrame] | None:
     out = []
     for f, x in ((a, expr_a), (b, expr_b)):
+        if cfg.structure_corr == "spearman":
+            x = cut(structure.ranked(x))
         n = x.agg(F.countDistinct("sample_id")).first()[0]
         if n < cfg.structure_min_samples:
             return None
