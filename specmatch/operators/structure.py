@@ -25,16 +25,20 @@ def correlate(z: DataFrame, pairs: DataFrame, n_samples: int) -> DataFrame:
     return pairs.join(zi, "i").join(zj, ["j", "sample_id"]).groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n_samples - 1)).alias("r"))
 
 
+def correlations(expr: DataFrame, n_samples: int) -> DataFrame:
+    """``r`` of every two features (i, j) that share a sample, in both orders."""
+    z = standardise(expr)
+    a, b = z.select("sample_id", F.col("feature_id").alias("i"), F.col("z").alias("zi")), z.select("sample_id", F.col("feature_id").alias("j"), F.col("z").alias("zj"))
+    return a.join(b, "sample_id").where("i != j").groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n_samples - 1)).alias("r"))
+
+
 def corr_knn(expr: DataFrame, k: int, n_samples: int) -> DataFrame:
     """(i, j, rank, w): each feature's k most correlated others among those that share a sample; weights sum to 1 in absolute value.
 
     Pairs are formed within samples: the work is the sum over samples of the square of its features, as the full
     matrix needs; for wide studies use ``local_rt``, which bounds the partners of a feature.
     """
-    z = standardise(expr)
-    a, b = z.select("sample_id", F.col("feature_id").alias("i"), F.col("z").alias("zi")), z.select("sample_id", F.col("feature_id").alias("j"), F.col("z").alias("zj"))
-    r = a.join(b, "sample_id").where("i != j").groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n_samples - 1)).alias("r"))
-    return _nearest(r, k)
+    return _nearest(correlations(expr, n_samples), k)
 
 
 def _nearest(r: DataFrame, k: int) -> DataFrame:

@@ -659,8 +659,32 @@ def _(spark, d):
 def _(spark, d):
     import numpy as np
 
-    x, n = narrow(spark, d)
+    x, n = whole(spark, d)
     samples = [r[0] for r in x.select("sample_id").distinct().orderBy("sample_id").collect()]
     rng = np.random.default_rng(0)
     drawn = [(k, int(s)) for k in range(5) for s in rng.choice(samples, int(0.8 * n), replace=True)]
     return structure.stable(x, 5, spark.createDataFrame(drawn, "boot_id int, sample_id long"), 5, 3)
+
+
+# --- graphs over whole tables: their namesakes with SQL read a part, which SQL can pair; tests hold these to brute force ----
+
+
+def whole(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    x = expression(spark, d)
+    return x, x.agg(F.countDistinct("sample_id")).first()[0]
+
+
+@register("corr_knn_whole")
+def _(spark, d):
+    x, n = whole(spark, d)
+    return structure.corr_knn(x, 5, n).select("i", F.col("rank").cast("long").alias("n"), micro(F.abs("r")).alias("r"))
+
+
+@register("structure_bonus_whole")
+def _(spark, d):
+    x, n = whole(spark, d)
+    g = structure.correlations(x, n).where(F.abs("r") > 0.05).select("i", "j", F.abs("r").alias("w"))
+    f = x.select("feature_id").distinct()
+    steps = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]))
+    e = f.select(F.col("feature_id").alias("id1"), steps.alias("_k")).withColumn("id2", F.col("id1") + F.col("_k")).join(f.select(F.col("feature_id").alias("id2")), "id2").select("id1", "id2", (1.0 / (1.0 + F.abs("_k"))).alias("p_row_ot"))
+    return structure.structure_bonus(e, g, g).select("id1", "id2", micro(F.col("struct_bonus")).alias("bonus"))

@@ -89,3 +89,38 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def _correlations(spark):
+    """Dense |r| between all features of SF, by feature id; 0 on the diagonal and where no sample is shared."""
+    from specmatch.sources.views import expression
+
+    x = expression(spark, SF).toPandas().astype(float)
+    z = x.pivot(index="feature_id", columns="sample_id", values="v")
+    sd = z.std(axis=1, ddof=1)
+    z = z.sub(z.mean(axis=1), axis=0).div(sd.where(sd > 1e-8, 1.0), axis=0)
+    shared = z.notna().to_numpy(float)
+    r = np.abs(z.fillna(0).to_numpy() @ z.fillna(0).to_numpy().T) / (z.shape[1] - 1)
+    r[(shared @ shared.T == 0) | np.eye(len(z), dtype=bool)] = 0
+    return z.index.to_numpy().astype(int), r
+
+
+def test_graphs_cover_every_feature(spark):
+    ids, r = _correlations(spark)
+    assert ids.max() > 120
+    got = q.QUERIES["corr_knn_whole"](spark, SF).toPandas().sort_values(["i", "n"])
+    assert set(got.i) == set(ids)
+    for k, i in enumerate(ids):
+        np.testing.assert_allclose(got[got.i == i].r / 1e6, np.sort(r[k])[::-1][:5], atol=1.1e-6)
+    bonus = q.QUERIES["structure_bonus_whole"](spark, SF).toPandas()
+    d = np.abs(ids[:, None] - ids[None])
+    g, p = np.where(r > 0.05, r, 0), np.where(d <= 2, 1 / (1 + d), 0)
+    at = {i: k for k, i in enumerate(ids)}
+    want = g @ p @ g.T
+    assert len(bonus) == (d <= 2).sum()
+    np.testing.assert_allclose(bonus.bonus / 1e6, [want[at[a], at[b]] for a, b in zip(bonus.id1, bonus.id2)], atol=1.1e-6)
+
+
+def test_stable_graph_covers_every_feature(spark):
+    stable = q.QUERIES["stable_graph"](spark, SF).toPandas()
+    assert stable.i.max() > 120 and stable.j.max() > 120 and stable.n.between(3, 5).all()
