@@ -688,3 +688,26 @@ def _(spark, d):
     steps = F.explode(F.array(*[F.lit(k) for k in (-2, -1, 0, 1, 2)]))
     e = f.select(F.col("feature_id").alias("id1"), steps.alias("_k")).withColumn("id2", F.col("id1") + F.col("_k")).join(f.select(F.col("feature_id").alias("id2")), "id2").select("id1", "id2", (1.0 / (1.0 + F.abs("_k"))).alias("p_row_ot"))
     return structure.structure_bonus(e, g, g).select("id1", "id2", micro(F.col("struct_bonus")).alias("bonus"))
+
+
+def whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "lineitem").select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b")).distinct()
+
+
+@register("connected_components_whole")
+def _(spark, d):
+    return connected_components(whole_edges(spark, d))
+
+
+@register("component_pick_whole")
+def _(spark, d):
+    from specmatch.operators.cluster import pick
+
+    e = whole_edges(spark, d)
+    return pick(connected_components(e).withColumn("study", F.col("node") % 2), e.withColumn("w", F.lit(1.0)))
+
+
+@register("cluster_expr_long_whole")
+def _(spark, d):
+    x = expression(spark, d).withColumn("cluster_id", F.col("feature_id") % 100)
+    return x.groupBy("sample_id", "cluster_id").agg(micro(F.max("v")).alias("v"))

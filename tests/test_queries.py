@@ -124,3 +124,34 @@ def test_graphs_cover_every_feature(spark):
 def test_stable_graph_covers_every_feature(spark):
     stable = q.QUERIES["stable_graph"](spark, SF).toPandas()
     assert stable.i.max() > 120 and stable.j.max() > 120 and stable.n.between(3, 5).all()
+
+
+def test_components_cover_every_edge(spark):
+    pairs = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    near: dict[int, set[int]] = {}
+    for r in pairs:
+        near.setdefault(2 * r.l_suppkey, set()).add(2 * r.l_partkey + 1)
+        near.setdefault(2 * r.l_partkey + 1, set()).add(2 * r.l_suppkey)
+    parts, left = [], set(near)
+    while left:
+        c, queue = set(), [min(left)]
+        while queue:
+            if (n := queue.pop()) not in c:
+                c.add(n)
+                queue += near[n] - c
+        parts.append((min(c), c))
+        left -= c
+    got = {r.node: r.component for r in q.QUERIES["connected_components_whole"](spark, SF).collect()}
+    assert got == {n: least for least, c in parts for n in c}
+    picked = {(r.component, r.study, r.node) for r in q.QUERIES["component_pick_whole"](spark, SF).collect()}
+    assert picked == {(least, k, min((n for n in c if n % 2 == k), key=lambda n: (-len(near[n]), n))) for least, c in parts for k in (0, 1)}
+
+
+def test_cluster_table_covers_every_feature(spark):
+    from specmatch.sources.views import expression
+
+    want: dict = {}
+    for r in expression(spark, SF).collect():
+        at = (r.sample_id, r.feature_id % 100)
+        want[at] = max(want.get(at, 0), math.floor(float(r.v) * 1e6 + 0.5))
+    assert {(r.sample_id, r.cluster_id): r.v for r in q.QUERIES["cluster_expr_long_whole"](spark, SF).collect()} == want
