@@ -61,33 +61,105 @@ def robust_linear(anchors: DataFrame, x: str, y: str, eps: float = 1.35, rounds:
     return now
 
 
-def lowess_knots(x: np.ndarray, y: np.ndarray, df: int) -> tuple[tuple[float, float], ...]:
-    """A local line at each distinct x over the nearest share ``df / n`` of the points, weighted by the tricube of distance."""
-    order = np.argsort(x, kind="stable")
-    x, y = x[order], y[order]
-    frac = min(max(df / len(x), 0.1), 1.0)
-    out: dict[float, list[float]] = {}
-    for at in x:
-        d = np.abs(x - at)
-        h = max(float(np.quantile(d, frac)), 1e-12)
-        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+def _widths(x: np.ndarray, frac: float) -> np.ndarray:
+    """The quantile ``frac`` of the distances from each of the sorted ``x`` to all of them: the nearest are a run of neighbours."""
+    n = len(x)
+    place = frac * (n - 1)
+    m = min(int(place) + 2, n)
+    here = np.arange(n)
+    low, high = np.maximum(here - m + 1, 0), np.minimum(here, n - m)
+    while (open_ := low < high).any():
+        mid = (low + high) // 2
+        right = open_ & (x[np.minimum(mid + m, n - 1)] - x < x - x[mid])
+        low, high = np.where(right, mid + 1, low), np.where(open_ & ~right, mid, high)
+    left, top = x - x[low], x[low + m - 1] - x
+    last = np.maximum(left, top)
+    if m == 1:
+        return last
+    before = np.where(left >= top, np.maximum(x - x[np.minimum(low + 1, n - 1)], top), np.maximum(left, x[low + m - 2] - x))
+    return before + (last - before) * (place - int(place)) if int(place) + 1 < n else last
+
+
+def _smooth(x: np.ndarray, y: np.ndarray, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The local line at each of ``rows`` of the sorted points, weighted by the tricube of distance."""
+    out = np.empty(len(rows))
+    first, last = np.searchsorted(x, x[rows] - h[rows], "left"), np.searchsorted(x, x[rows] + h[rows], "right")
+    for k, (row, a, b) in enumerate(zip(rows.tolist(), first.tolist(), last.tolist(), strict=True)):
+        at, xs, ys = x[row], x[a:b], y[a:b]
+        w = np.clip(1 - (np.abs(xs - at) / h[row]) ** 3, 0, None) ** 3
         sw = w.sum()
         if sw <= 0:
-            out.setdefault(float(at), []).append(float(y[d.argmin()]))
+            out[k] = y[row]
             continue
-        mx, my = (w * x).sum() / sw, (w * y).sum() / sw
-        sxx = (w * (x - mx) ** 2).sum()
-        slope = (w * (x - mx) * (y - my)).sum() / sxx if sxx > 1e-12 else 0.0
-        out.setdefault(float(at), []).append(float(my + slope * (at - mx)))
-    return tuple((k, float(np.mean(v))) for k, v in sorted(out.items()))
+        mx, my = (w * xs).sum() / sw, (w * ys).sum() / sw
+        sxx = (w * (xs - mx) ** 2).sum()
+        slope = (w * (xs - mx) * (ys - my)).sum() / sxx if sxx > 1e-12 else 0.0
+        out[k] = my + slope * (at - mx)
+    return out
 
 
-def lowess(anchors: DataFrame, x: str, y: str, df: int, most: int = 2000) -> Drift:
-    """LOWESS on at most ``most`` anchors, drawn by a hash of their ids: its knots become part of every task's expression, so their number is bounded."""
-    got = anchors.where(F.col(x).isNotNull() & F.col(y).isNotNull()).orderBy(F.xxhash64("id1", "id2")).limit(most).select(F.col(x).alias("x"), F.col(y).alias("y")).toPandas()
+def _sorted(x: np.ndarray, y: np.ndarray, df: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points in order of x, their widths, and the first row of each distinct x."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    h = np.maximum(_widths(x, min(max(df / len(x), 0.1), 1.0)), 1e-12)
+    return x, y, h, np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+
+
+def lowess_knots(x: np.ndarray, y: np.ndarray, df: int) -> tuple[tuple[float, float], ...]:
+    """A local line at each distinct x over the nearest share ``df / n`` of the points, weighted by the tricube of distance."""
+    x, y, h, rows = _sorted(x, y, df)
+    return tuple(zip(x[rows].tolist(), _smooth(x, y, h, rows).tolist()))
+
+
+def lowess_curve(anchors: DataFrame, x: str, y: str, df: int, local: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct x and their fitted values, each over every anchor. The driver and each task hold the anchors as two
+    numbers; with more than ``local`` of them the cluster fits the distinct x in blocks."""
+    spark = anchors.sparkSession
+    got = anchors.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).orderBy("x", "y").toPandas()
     if len(got) < LEAST:
+        return np.zeros(0), np.zeros(0)
+    xs, ys, h, rows = _sorted(got["x"].to_numpy(float), got["y"].to_numpy(float), df)
+    if len(xs) <= local:
+        return xs[rows], _smooth(xs, ys, h, rows)
+    held = spark.sparkContext.broadcast((xs, ys, h))
+
+    def block(batches):
+        for b in batches:
+            at = b["row"].to_numpy()
+            yield b.assign(v=_smooth(*held.value, at))
+
+    blocks = spark.createDataFrame([(int(r),) for r in rows], "row long").repartition(max(8, len(rows) // 2_000), "row")
+    done = blocks.mapInPandas(block, "row long, v double").toPandas().sort_values("row")
+    held.unpersist()
+    return xs[done["row"].to_numpy()], done["v"].to_numpy(float)
+
+
+def thin(xs: np.ndarray, ys: np.ndarray, off: float) -> np.ndarray:
+    """Places of the knots between which straight lines stay within ``off`` of every point of the curve."""
+    keep, todo = {0, len(xs) - 1}, [(0, len(xs) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        miss = np.abs(ys[a] + (ys[b] - ys[a]) * (xs[a + 1 : b] - xs[a]) / (xs[b] - xs[a]) - ys[a + 1 : b])
+        if miss.max() > off:
+            mid = a + 1 + int(miss.argmax())
+            keep.add(mid)
+            todo += [(a, mid), (mid, b)]
+    return np.array(sorted(keep))
+
+
+def lowess(anchors: DataFrame, x: str, y: str, df: int, most: int = 2000) -> Drift:
+    """LOWESS on all anchors. Its knots become part of every task's expression: up to ``most`` are kept as they are; of more, those
+    that keep the lines between them within a millionth of the curve's range at every anchor, however many that takes."""
+    xs, ys = lowess_curve(anchors, x, y, df)
+    if not len(xs):
         return Drift()
-    knots = lowess_knots(got["x"].to_numpy(float), got["y"].to_numpy(float), df)
+    if len(xs) > most:
+        at = thin(xs, ys, 1e-6 * float(np.ptp(ys)))
+        xs, ys = xs[at], ys[at]
+    knots = tuple(zip(xs.tolist(), ys.tolist()))
     return Drift("lowess", knots=knots) if len(knots) > 1 else Drift("linear", knots[0][1], 0.0)
 
 

@@ -637,7 +637,7 @@ def _(spark, d):
     from specmatch.operators import drift
 
     p = bandjoin.mutual(*pair(spark, d), 7.0).withColumn("ppm", C.ppm_over_mean(F.col("mz1"), F.col("mz2")))
-    return spark.createDataFrame(list(drift.lowess(p, "mz1", "ppm", 10).knots), "mz double, ppm_fit double")
+    return spark.createDataFrame(list(zip(*(v.tolist() for v in drift.lowess_curve(p, "mz1", "ppm", 10)))), "mz double, ppm_fit double")
 
 
 @register("ransac_transfer")

@@ -155,3 +155,25 @@ def test_cluster_table_covers_every_feature(spark):
         at = (r.sample_id, r.feature_id % 100)
         want[at] = max(want.get(at, 0), math.floor(float(r.v) * 1e6 + 0.5))
     assert {(r.sample_id, r.cluster_id): r.v for r in q.QUERIES["cluster_expr_long_whole"](spark, SF).collect()} == want
+
+
+def test_lowess_uses_every_anchor(spark):
+    rng = np.random.default_rng(4)
+    x = np.sort(np.round(rng.uniform(0, 50, 3000), 2))
+    y = np.sin(x / 4) + rng.normal(0, 0.2, 3000)
+    frac = max(10 / 3000, 0.1)
+    at = np.unique(x)
+    want = []
+    for a in at:
+        d = np.abs(x - a)
+        w = np.clip(1 - (d / np.quantile(d, frac)) ** 3, 0, None) ** 3
+        slope, icept = np.polyfit(x - a, y, 1, w=np.sqrt(w))
+        want.append(icept)
+    df = spark.createDataFrame([(i, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id1 long, id2 long, x double, y double")
+    for local in (10, 20_000):
+        xs, ys = drift.lowess_curve(df, "x", "y", 10, local)
+        np.testing.assert_array_equal(xs, at)
+        np.testing.assert_allclose(ys, want, atol=1e-8)
+    knots = np.array(drift.lowess(df, "x", "y", 10, most=100).knots)
+    assert len(knots) < len(at)
+    np.testing.assert_allclose(np.interp(at, *knots.T), want, atol=1.1e-6 * np.ptp(want))
