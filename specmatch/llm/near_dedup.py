@@ -9,7 +9,7 @@
 4. Retained pairs make loose groups; within each, links are confirmed on the full sets until no unvisited
    member is left, and confirmed links give the components.
 
-With the defaults a pair at similarity 0.85 is missed with a chance below 1e-7, and nothing unconfirmed is linked.
+A pair at the threshold is missed with a chance below 1e-7, whatever the threshold, and nothing unconfirmed is linked.
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; with fewer words than a shingle the
 whole sequence is the only shingle; repeated rows and equal texts share a component; a null doc_id never names a component;
@@ -18,6 +18,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -173,10 +174,20 @@ def confirm(keys: list[int], sets: list[np.ndarray], num: int, den: int) -> list
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 85, den: int = 100, coords: int = 64, matches: int = 38) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row of ``docs``; ``set_key`` names the class of equal sets."""
+def least_matches(ratio: float, coords: int, miss: float = 1e-7) -> int:
+    """The most coordinates that a pair at similarity ``ratio`` fails to agree in with a chance of at most ``miss``."""
+    below, m = 0.0, 0
+    while m < coords and (below := below + math.comb(coords, m) * ratio**m * (1 - ratio) ** (coords - m)) <= miss:
+        m += 1
+    return max(m, 1)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 85, den: int = 100, coords: int = 64, matches: int | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per row of ``docs``; ``set_key`` names the class of equal sets. Without
+    ``matches`` the match threshold follows from ``num / den`` and ``coords``."""
     small_batches(docs.sparkSession)
     ratio = num / den
+    matches = least_matches(ratio, coords) if matches is None else matches
     prefix = coords - matches + 1
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,9 +269,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one that names it. Rows repeated under one doc_id with one text stay once; rows
+    """One document of each group at similarity 0.8: the one that names it. Rows repeated under one doc_id with one text stay once; rows
     with a null doc_id stay, since no other document can stand for them."""
-    keep = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    keep = near_duplicates(docs, num=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     found = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").withColumn("_same", F.xxhash64("text"))
     once = found.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_same").orderBy("_same"))).where("_row = 1")
     return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -469,6 +469,34 @@ def test_rules_edges(spark, edges, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+@pytest.mark.parametrize("num", [60, 80, 85, 95])
+def test_match_threshold_follows_similarity(num):
+    m = near_dedup.least_matches(num / 100, 64)
+    below = lambda k: sum(math.comb(64, i) * (num / 100) ** i * (1 - num / 100) ** (64 - i) for i in range(k))
+    assert below(m) <= 1e-7 < below(m + 1)
+
+
+def test_near_stage_links_at_eight_tenths(spark):
+    base = [f"w{k}" for k in range(300)]
+    other = list(base)
+    for k in range(6):
+        other[25 + 50 * k] = f"new{k}"  # 296 shingles, 30 of them new: 266 / 326 = 0.816
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(other)), (3, "another text of its own kind here")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dedup.stage(spark, df, SF).collect()) == [1, 3]
+
+
+def test_near_duplicates_at_a_low_threshold(spark):
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{k}" for k in range(300)]
+        other = list(base)
+        for k in range(14):
+            other[10 + 20 * k] = f"g{g}new{k}"  # 226 / 366 = 0.617
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=60).collect()
+    assert all(r.component_id == r.doc_id // 2 * 2 for r in got)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
