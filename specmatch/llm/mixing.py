@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specmatch.llm.quality_rules import SPACES
@@ -97,11 +97,16 @@ FROM placed
 """
 
 
+def _named() -> tuple:
+    """lang, source and tokens of a document, as columns."""
+    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
+    tokens = F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long")
+    return F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens.alias("tokens")
+
+
 def token_table(docs: DataFrame, targets: Targets) -> DataFrame:
     """doc_id, domain, lang, source, tokens of every document, written once: the text is read one time."""
-    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
-    named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long").alias("tokens"))
-    return cut(named.withColumn("domain", F.expr(targets.domain)))
+    return cut(docs.select("doc_id", *_named()).withColumn("domain", F.expr(targets.domain)))
 
 
 def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
@@ -122,6 +127,14 @@ ORACLE = plan_sql(
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document as often as it is taken, with its own columns."""
-    taken = mix(docs).select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    """The mixture: each document as often as it is taken, with its own columns. Rows that share doc_id, leaf and tokens are
+    alike to ``mix``: their copies are dealt to them one by one, most first, in order of a hash of the text; a null doc_id is an id
+    like any other."""
+    key = ["_id", "_none", "_lang", "_source", "_tokens"]
+    ids = (F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
+    copies = mix(docs).select(*ids, F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("tokens").alias("_tokens"), "copies").groupBy(*key).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies")).where("_copies[0] > 0")
+    lang, source, tokens = _named()
+    rows = docs.select("*", *ids, lang.alias("_lang"), source.alias("_source"), tokens.alias("_tokens")).join(copies, key)
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    taken = rows.withColumn("_n", F.element_at("_copies", F.col("_row"))).where("_n > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)

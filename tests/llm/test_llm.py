@@ -217,6 +217,18 @@ def test_mixing_edges(edges, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_stage_keeps_null_and_shared_ids(spark, edges):
+    rows = [(None, f"null id {'word ' * k}", "en", "src1", None) for k in range(1, 40)] + [(7, f"shared id {'word ' * (k % 9)}{k}", "de", "src2", None) for k in range(40)] + [(100 + k, "plain text " * 20, "fr", "src3", None) for k in range(5)]
+    for frame in (spark.createDataFrame(rows, SCHEMA), edges):
+        want, got = Counter(), Counter()
+        for r in mixing.mix(frame).collect():
+            want[r.doc_id, r.lang, r.source, r.tokens] += r.copies
+        out = mixing.stage(spark, frame, SF).collect()
+        for r in out:
+            got[r.doc_id, r.lang or "", r.source or "", len(tokens(r.text or ""))] += 1
+        assert any(r.doc_id is None for r in out) and +want == +got
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
