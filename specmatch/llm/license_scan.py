@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-Lines with a license cue open candidate blocks. A block is compressed alone and with each template as zstandard's raw
-dictionary; the share of its size that a template saves ranks the templates, and the best few are confirmed by
-their exact wording: the words a template has and the block lacks, or the block has inside the match, must be few, and none
-of the template's deciding words (name, version, variant) may differ.
+Each license cue in a text's stream of words opens windows, one for each place that a cue has in a template: they reach back as many
+words as the template has before it, over line ends. Every window that holds enough of its template's words is confirmed
+by exact wording: the words the template has and the block lacks, or the block has inside the match, must be few, and none of the
+template's deciding words (name, version, variant) may differ. Of confirmed blocks that overlap the closest counts, then the one of which
+the template, as zstandard's raw dictionary, saves the larger share; all others are found. A cue outside of them is reported beside
+the template that saves most.
 
 Edge cases: null and empty texts have no candidates; a cue without a confirmed template is reported as unconfirmed;
-very long texts are scanned whole, line by line; repeated rows are scanned one by one.
+very long texts are scanned whole; repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,6 +56,9 @@ TEMPLATES = (
     ("proprietary", ("reserved",), "Copyright. All rights reserved."),
 )
 _WORD = re.compile(r"\w+")
+#: A cue may run over a line end or a comment mark.
+_CUE = "|".join(c.replace(" ", r"\W+") for c in CUES)
+_CUES = re.compile(_CUE)
 
 
 def split_words(text: str) -> list[str]:
@@ -69,84 +76,114 @@ class Found:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, level: int = 12, slack: float = 0.2, best: int = 4):
+    def __init__(self, templates=TEMPLATES, level: int = 12, slack: float = 0.2):
         import zstandard
 
         self.templates = [(name, set(deciding), split_words(text)) for name, deciding, text in templates]
         options = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
         self.plain = zstandard.ZstdCompressor(level=level, **options)
         self.primed = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, _, words in self.templates]
-        self.slack, self.best = slack, best
+        self.counts = [Counter(words) for _, _, words in self.templates]
+        self.limits = [max(1, round(slack * len(words))) for _, _, words in self.templates]
+        self.offsets = [_cue_words(" ".join(words))[1] or [0] for _, _, words in self.templates]
 
     def reduction(self, block: bytes, k: int) -> float:
         """Share of the block's compressed size that template k as dictionary saves."""
         alone = len(self.plain.compress(block))
         return 1 - len(self.primed[k].compress(block)) / alone
 
-    def differences(self, words: list[str], k: int) -> tuple[int, int, bool]:
-        """Words of template k that the block lacks, words the block has inside the match, and whether a deciding word is off."""
-        _, deciding, wanted = self.templates[k]
-        match = difflib.SequenceMatcher(None, wanted, words, autojunk=False)
-        blocks = [b for b in match.get_matching_blocks() if b.size]
+    def differences(self, words: list[str], k: int) -> tuple[int, int]:
+        """Words of template k that the block lacks, and words the block has inside the match."""
+        wanted = self.templates[k][2]
+        blocks = [b for b in difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if b.size]
         if not blocks:
-            return len(wanted), 0, True
+            return len(wanted), 0
         equal = sum(b.size for b in blocks)
-        span = words[blocks[0].b : blocks[-1].b + blocks[-1].size]
-        return len(wanted) - equal, len(span) - equal, bool(deciding - set(span))
+        return len(wanted) - equal, blocks[-1].b + blocks[-1].size - blocks[0].b - equal
+
+    def confirm(self, words: list[str], k: int) -> tuple[int, int, int, int] | None:
+        """Both differences and the span of the closest run of matches; None if they are too many or a deciding word is off."""
+        _, deciding, wanted = self.templates[k]
+        match = difflib.SequenceMatcher(None, wanted, words, autojunk=False)
+        blocks, found = [b for b in match.get_matching_blocks() if b.size], None
+        for i in range(len(blocks)):
+            equal = 0
+            for b in blocks[i:]:
+                equal += b.size
+                low, high = blocks[i].b, b.b + b.size
+                missing, added = len(wanted) - equal, high - low - equal
+                if missing + added <= self.limits[k] and (found is None or missing + added < found[0] + found[1]) and deciding <= set(words[low:high]):
+                    found = (missing, added, low, high)
+        return found
+
+    def confirmed(self, words: list[str], cues: list[int]) -> dict[tuple[int, int, int], tuple[int, int]]:
+        """(template, start, end) of every confirmed block, and its differences."""
+        sure, tried = {}, set()
+        for at in cues:
+            for k, (_, deciding, wanted) in enumerate(self.templates):
+                limit = self.limits[k]
+                for offset in self.offsets[k]:
+                    first, last = max(0, at - offset - limit), max(0, at - offset + len(wanted) + limit)
+                    if (k, first, last) in tried:
+                        continue
+                    tried.add((k, first, last))
+                    own = words[first:last]
+                    if not deciding <= set(own):
+                        continue
+                    has = Counter(own)
+                    if sum(min(n, has[w]) for w, n in self.counts[k].items()) < len(wanted) - limit:  # no order of these words confirms
+                        continue
+                    if got := self.confirm(own, k):
+                        missing, added, a, b = got
+                        sure[k, first + a, first + b] = (missing, added)
+        return sure
 
     def scan(self, text: str) -> list[Found]:
-        lines, out, i = text.split("\n"), [], 0
-        while i < len(lines):
-            low = lines[i].lower()
-            if not any(c in low for c in CUES):
-                i += 1
+        low = text.lower()
+        words, cues, starts = _cue_words(low)
+        ends = [m.start() for m in re.finditer("\n", low)]
+        line = lambda at: bisect_right(ends, starts[at])
+        sure = self.confirmed(words, cues)
+        ranked = sorted((missing + added, -self.reduction(" ".join(words[a:b]).encode(), k), k, a, b, missing, added) for (k, a, b), (missing, added) in sure.items())
+        out, taken, covered = [], [], set()
+        for _, saved, k, a, b, missing, added in ranked:
+            if not any(a < d and c < b for _, c, d in taken):
+                taken.append((self.templates[k][0], a, b))
+                covered |= set(range(a, b))
+                out.append((a, Found(line(a), self.templates[k][0], -saved, missing, added, " ".join(words[a:b]))))
+        for k, a, b in sure:  # the rest of a notice whose shorter wording was closer
+            if any(name == self.templates[k][0] and a < d and c < b for name, c, d in taken):
+                covered |= set(range(a, b))
+        until, where = 0, -1
+        for at in cues:
+            if at in covered or (at < until and line(at) == where):
                 continue
-            ranked = []
-            for k, (_, _, wanted) in enumerate(self.templates):
-                words, j = split_words(lines[i]), i + 1
-                while len(words) < len(wanted) and j < len(lines):  # a long notice runs over lines
-                    words += split_words(lines[j])
-                    j += 1
-                own = self._window(words, wanted)
-                ranked.append((self.reduction(" ".join(own).encode(), k), -k, own, j))
-            ranked.sort(key=lambda r: (-r[0], -r[1]))
-            sure = []
-            for saved, k, own, j in ranked[: self.best]:
-                missing, added, off = self.differences(own, -k)
-                if not off and missing + added <= max(1, round(self.slack * len(self.templates[-k][2]))):
-                    sure.append((missing + added, -saved, k, missing, added, own, j))
-            if sure:
-                _, saved, k, missing, added, own, j = min(sure)
-                out.append(Found(i, self.templates[-k][0], -saved, missing, added, " ".join(own)))
-                i = max(i + 1, j if len(self.templates[-k][2]) > len(split_words(lines[i])) else i + 1)
-            else:
-                saved, k, own, _ = ranked[0]
-                missing, added, _ = self.differences(own, -k)
-                out.append(Found(i, None, saved, missing, added, " ".join(own)))
-                i += 1
-        return out
-
-    def _window(self, words: list[str], wanted: list[str]) -> list[str]:
-        """The part of a longer line about the place where most of the template's words lie."""
-        size = len(wanted) + max(2, len(wanted) // 4)
-        if len(words) <= size:
-            return words
-        has = [w in set(wanted) for w in words]
-        total = best = sum(has[:size])
-        at = 0
-        for k in range(size, len(words)):
-            total += has[k] - has[k - size]
-            if total > best:
-                best, at = total, k - size + 1
-        return words[at : at + size]
+            saved, k, a, b = self._closest(words, at)
+            missing, added = self.differences(words[a:b], k)
+            out.append((at, Found(line(at), None, saved, missing, added, " ".join(words[a:b]))))
+            until, where = b, line(at)
+        return [f for _, f in sorted(out, key=lambda x: x[0])]
+
+    def _closest(self, words: list[str], at: int) -> tuple[float, int, int, int]:
+        """The template that saves most of its window about the cue at ``at``: share, template, window."""
+        found = []
+        for k, (_, _, wanted) in enumerate(self.templates):
+            a, b = max(0, at - self.offsets[k][0]), max(at + 1, at - self.offsets[k][0] + len(wanted))
+            found.append((self.reduction(" ".join(words[a:b]).encode(), k), -k, a, b))
+        saved, k, a, b = max(found)
+        return saved, -k, a, b
+
+
+def _cue_words(low: str) -> tuple[list[str], list[int], list[int]]:
+    """The words of a lower-case text, the places among them that cues start at, and where each word starts."""
+    found = [(m.group(), m.start()) for m in _WORD.finditer(low)]
+    starts = [at for _, at in found]
+    return [w for w, _ in found], sorted({bisect_right(starts, m.start()) - 1 for m in _CUES.finditer(low)}), starts
 
 
 def has_cue(text: Column) -> Column:
     """A JVM-side test that spares the other texts the way to Python."""
-    low, out = F.lower(text), F.lit(False)
-    for cue in CUES:
-        out = out | low.contains(cue)
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(F.lower(text).rlike(_CUE), F.lit(False))
 
 
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:

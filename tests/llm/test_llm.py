@@ -103,6 +103,19 @@ def test_every_license_line_is_found(spark, texts):
         assert got[d] == {v for k, v in lines.items() if k in t}
 
 
+def test_wrapped_and_joined_licenses(spark):
+    by = {name: text for name, _, text in license_scan.TEMPLATES}
+    rows = [
+        (1, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, you can obtain one."),
+        (2, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+        (3, "# This is free and unencumbered software released into the public\n# domain."),
+        (4, "Some words. Released under the MIT License. More words follow here and go on. Licensed under the Apache License, Version 2.0. The end of the text."),
+        (5, " and then ".join([by["CC0-1.0"], by["MPL-2.0"], by["ISC"], by["GPL-3.0"], "Released under the MIT License."])),
+    ]
+    got = {r.doc_id: (r.licenses, r.n_confirmed) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MPL-2.0", 1), 2: ("ISC", 1), 3: ("Unlicense", 1), 4: ("Apache-2.0 MIT", 2), 5: ("CC0-1.0 GPL-3.0 ISC MIT MPL-2.0", 5)}
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
