@@ -1,6 +1,7 @@
 """Sharding by size-tiered compaction over a versioned manifest. Native: DataFrame operations and the file system only.
 
-Arrivals are appended as small immutable shards: each task writes what it reads, no shuffle. Compaction sorts the live shards into tiers
+Arrivals are appended as small immutable shards: each task writes what it reads, no shuffle, and reads a fraction of the target; a shard
+that is too large all the same is written again in parts. Compaction sorts the live shards into tiers
 of similar size and, wherever a tier holds enough of them, packs runs of that tier into files of the target size: Spark's own file
 packing puts similarly sized files together up to the target and each such pack is read by one task and written as one file. A version is a JSON
 manifest that names every live shard; it is written beside its place and renamed into it, and the rename fails if
@@ -17,6 +18,8 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,8 +100,22 @@ class ShardStore:
             raise
         return version
 
-    def _write(self, df: DataFrame, folder: str) -> list[Shard]:
-        df.write.parquet(f"{self.path}/{folder}")
+    def _read_bytes(self) -> int:
+        return int(self.spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+
+    @contextmanager
+    def _set(self, conf: dict[str, str]) -> Iterator[None]:
+        was = {k: self.spark.conf.get(k, None) for k in conf}
+        try:
+            for k, v in conf.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in was.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+    def _write(self, df: DataFrame, folder: str, per_file: int = 0) -> list[Shard]:
+        df.write.option("maxRecordsPerFile", per_file).parquet(f"{self.path}/{folder}")
         files = {n: size for n, size in self._list(folder) if n.endswith(".parquet")}
         if not files:
             return []
@@ -107,9 +124,15 @@ class ShardStore:
         rows = {r["n"]: r["count"] for r in counts}
         return [Shard(f"{folder}/{n}", size, rows[n]) for n, size in files.items() if rows.get(n)]
 
-    def append(self, df: DataFrame) -> Version:
-        """Commit the rows of ``df`` as new shards, as they come."""
-        new = self._write(df, f"data/{uuid.uuid4().hex}")
+    def append(self, df: DataFrame, target: int = TARGET, fanout: int = FANOUT) -> Version:
+        """Commit the rows of ``df`` as new shards, as they come, well under ``target``."""
+        most = max(1, target // fanout)
+        with self._set({"spark.sql.files.maxPartitionBytes": str(min(most, self._read_bytes()))}):
+            new = self._write(df, f"data/{uuid.uuid4().hex}")
+        large = [s for s in new if s.bytes >= 0.75 * target and s.rows > 1]  # a row group, or rows that no file scan deals out
+        if large:
+            per_file = max(1, min(s.rows * most // s.bytes for s in large))
+            new = [s for s in new if s not in large] + self._write(self._read(large, df.schema.json()), f"data/{uuid.uuid4().hex}", per_file)
         while True:
             now = self.latest()
             try:
@@ -144,14 +167,8 @@ class ShardStore:
 
     def _merge(self, tier: list[Shard], target: int, schema: str) -> list[Shard]:
         conf = {"spark.sql.files.maxPartitionBytes": str(target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
-        was = {k: self.spark.conf.get(k, None) for k in conf}
-        try:
-            for k, v in conf.items():
-                self.spark.conf.set(k, v)
+        with self._set(conf):
             return self._write(self._read(tier, schema), f"data/{uuid.uuid4().hex}")
-        finally:
-            for k, v in was.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def _read(self, shards: list[Shard], schema: str) -> DataFrame:
         return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*[f"{self.path}/{s.name}" for s in shards])

@@ -179,6 +179,16 @@ def test_sharding_edges(spark, edges, empty, tmp_path):
     assert sharding.query(spark, SF).count() == 200
 
 
+def test_sharding_bounds_arrivals(spark, docs, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/b")
+    target = 128 << 10
+    got = store.append(docs.coalesce(1), target)  # one row group of some 290 KB
+    assert len(got.shards) >= 4 and all(s.bytes < 0.75 * target for s in got.shards)
+    now = store.compact(target)
+    assert now.number > got.number and len(now.shards) < len(got.shards) and all(s.bytes < 1.5 * target for s in now.shards)
+    assert sorted(r.doc_id for r in store.read().collect()) == sorted(r.doc_id for r in docs.collect())
+
+
 # --- 5 ---------------------------------------------------------------------------------------------------------------
 
 
