@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": near_dedup.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_quality_rules": quality_rules.query,
+    "op1_near_pairs": fingerprint.near_query,
 }
 #: The others fit models, hash, sort suffixes, run tokenizers or write files; tests hold them to brute force.
 ORACLES = {"op5_source_mixing": mixing.ORACLE, "op10_quality_rules": quality_rules.ORACLE}

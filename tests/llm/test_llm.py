@@ -87,6 +87,24 @@ def test_near_pairs_finds_copies(spark, docs, texts):
         first.setdefault(texts[d], d)
 
 
+def test_near_pairs_links_beyond_the_hub(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 16, fingerprint.SLOTS, np.uint8)
+
+    def off(of, n):
+        out = of.copy()
+        out[rng.choice(len(out), n, replace=False)] ^= 5
+        return out
+
+    far = [off(base, 64) for _ in range(120)]  # likeness about 0.73 to the two copies
+    prints = [*far, base, off(base, 12)]
+    rows = [(i, 9, h) for i, h in enumerate(fingerprint.to_hex(np.array(prints)))]
+    monkeypatch.setattr(fingerprint, "fingerprints", lambda docs: spark.createDataFrame(rows, "doc_id long, n_chars long, fingerprint string"))
+    links = {(r.doc_id, r.near_id) for r in fingerprint.near_pairs(spark.createDataFrame([(1,)], "doc_id long")).collect()}
+    assert (121, 120) in links
+    assert all(fingerprint.likeness(prints[a][None], prints[b])[0] >= 0.8 for a, b in links)
+
+
 # --- 2 ---------------------------------------------------------------------------------------------------------------
 
 
