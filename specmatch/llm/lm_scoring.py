@@ -4,14 +4,15 @@ Counting: each task makes bigram counts of its texts and deals them, as sorted b
 first word; a shard adds them up, writes its sorted hash arrays (bigram keys and counts; contexts with their total and
 the number of followers seen once, twice, more often) into the shared folder, and passes on how often and after how
 many different words each second word came. A second exchange adds those up into the word table. What the driver
-gets are sums of a dozen numbers per shard. Scoring memory-maps the arrays and looks up the distinct words, contexts and bigrams of a
+gets are sums of a dozen numbers per shard, and which shards have files; a file that is missing later is an error. Scoring memory-maps the arrays and looks up the distinct words, contexts and bigrams of a
 few megabytes of text at a time, so a worker's memory does not grow with the model.
 
 Every probability interpolates: p(v|u) = max(c(u,v) - D(c), 0) / c(u) + gamma(u) p(v), where p(v) is the same over
 continuation counts with 1 / (V + 1) below it, V + 1 counting one unknown word.
 
 Edge cases: a null or empty text is one end token; a null doc_id counts as held out; long texts are whole; with
-no training text at all every token has the uniform probability 1 / (V + 1) = 1.
+no training text at all every token has the uniform probability 1 / (V + 1) = 1. Equal texts have equal scores; an empty table gives an
+empty result; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -113,6 +114,7 @@ class Model:
     folder: str
     shards: int
     stats: dict[str, int]
+    files: frozenset[str]  # such as bigram-3, word-0
 
     def discounts(self, prefix: str) -> np.ndarray:
         """Modified Kneser-Ney discounts of counts 0, 1, 2, 3 and more; kept inside (0, count) where counts are few."""
@@ -164,24 +166,26 @@ def train(docs: DataFrame) -> Model:
             yield _rows([(shard, np.array(stats, np.int64).tobytes(), b"", b"")], 2)
 
     def add_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        out, files = [], []
         for shard, kind, group in _by_shard(batches):
             if kind == 2:
                 out += [np.frombuffer(g[0], np.int64) for g in group]
+                files.append(f"bigram-{shard}")
                 continue
+            files.append(f"word-{shard}")
             w = np.concatenate([np.frombuffer(g[0], np.uint64) for g in group])
             c, n = (np.concatenate([np.frombuffer(g[k], np.uint32) for g in group]).astype(np.uint64) for k in (1, 2))
             (w,), (c, n) = _sum_up((w,), (c, n))
             shared_files.write(f"{folder}/word-{shard}", [np.array([len(w)], np.uint64), w, c, n])
             out.append(np.array([0, 0, 0, 0, 0, 0, *_counts_of_counts(n), len(w)], np.int64))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in np.sum(out, 0)], names=list(_STATS))
+            yield pa.RecordBatch.from_arrays([*(pa.array([int(x)]) for x in np.sum(out, 0)), pa.array([files])], names=[*_STATS, "files"])
 
     blobs = docs.select("text").mapInArrow(count, _BLOBS)
     parts = blobs.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(add_bigrams, _BLOBS)
-    sums = parts.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(add_words, ", ".join(f"{n} long" for n in _STATS))
-    got = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _STATS]).first()
-    return Model(folder, shards, got.asDict())
+    sums = parts.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(add_words, ", ".join(f"{n} long" for n in _STATS) + ", files array<string>")
+    got = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _STATS], F.flatten(F.collect_list("files")).alias("files")).first().asDict()
+    return Model(folder, shards, {n: got[n] for n in _STATS}, frozenset(got["files"]))
 
 
 def _wide(counts: np.ndarray) -> np.ndarray:
@@ -202,15 +206,13 @@ class Scorer:
         m1, m2 = s["m1"], s["m2"]
         self.rest = (self.d1[1] * m1 + self.d1[2] * m2 + self.d1[3] * (self.vocabulary - m1 - m2)) / self.types if self.types else 1.0
 
-    def _open(self, kind: str, shard: int) -> tuple:
+    def _open(self, kind: str, shard: int) -> tuple | None:
         if (kind, shard) not in self.files:
-            try:
-                raw = shared_files.mapped(f"{self.model.folder}/{kind}-{shard}")
-            except FileNotFoundError:  # no word fell to this shard
-                raw = None
-            if raw is None:
+            if f"{kind}-{shard}" not in self.model.files:  # no word fell to this shard
                 self.files[kind, shard] = None
-            elif kind == "word":
+                return None
+            raw = shared_files.mapped(f"{self.model.folder}/{kind}-{shard}")
+            if kind == "word":
                 n = int(raw[:8].view(np.uint64)[0])
                 self.files[kind, shard] = tuple(raw[8 + 8 * n * k : 8 + 8 * n * (k + 1)].view(np.uint64) for k in range(3))
             else:
@@ -257,8 +259,8 @@ class Scorer:
                 totals[rows] = found[back]
         return c, totals
 
-    def log10(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 p(v|u) and the count of v, for each token."""
+    def log10(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 p(v|u), the count of v and that of the bigram, for each token."""
         distinct, word_of = np.unique(v, return_inverse=True)
         count, continuation = self.words(distinct)
         lower = self.rest / (self.vocabulary + 1)
@@ -272,14 +274,17 @@ class Scorer:
         bottom = np.where(seen, whole, 1)
         gamma = np.where(seen, (totals[:, 1:] @ self.d2[1:]) / bottom, 1)
         p = np.maximum(c - self.d2[np.minimum(c, 3).astype(np.int64)], 0) / bottom + gamma * low
-        return np.log10(p)[pair_of], count[word_of]
+        return np.log10(p)[pair_of], count[word_of], c[pair_of]
 
 
 _scorers: dict[str, Scorer] = {}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score and perplexity of every text. No shuffle."""
+    """doc_id, n_tokens, n_known, base_score, score, perplexity and n_rare_pairs of every text. No shuffle.
+
+    ``n_rare_pairs`` is the number of tokens whose bigram the training texts have once at most: of a training text that occurs once most
+    bigrams of rare words are its own, of one that occurs twice none is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model.folder not in _scorers:
@@ -289,18 +294,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         bottom = np.log10(s.total + s.vocabulary + 1)
         for batch in pieces(batches, "text"):
             u, v, first = bigrams(batch.column(1))
-            logs, counts = s.log10(u, v)
+            logs, counts, pairs = s.log10(u, v)
             low = first[:-1]
             n = np.diff(first)
             total = np.add.reduceat(logs, low)
             base = np.add.reduceat(np.log10(counts.astype(float) + 1) - bottom, low)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.add.reduceat((counts > 0).astype(np.int64), low)), pa.array(base), pa.array(total), pa.array(10 ** (-total / n))], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.add.reduceat((counts > 0).astype(np.int64), low)), pa.array(base), pa.array(total), pa.array(10 ** (-total / n)), pa.array(np.add.reduceat((pairs < 2).astype(np.int64), low))], names=["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity", "n_rare_pairs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double, n_rare_pairs long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs.where(~held_out(F.col("doc_id"))))
     scored = score(docs, model)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.stats["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.stats["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity", "n_rare_pairs")

@@ -9,21 +9,27 @@ All of it is SQL. A leaf's order is cut into 4096 ranges of a hash, so the runni
 as many tasks; weights travel as literals and the tree is one row per leaf.
 
 Edge cases: null language, source or text count as '' (an empty leaf name, no words); texts without words are
-never short of budget and follow the whole epochs only; weights not given are ``DEFAULT_WEIGHT``; an empty table
-gives an empty result; ties in the seeded order fall by doc_id and then tokens.
+never short of budget and follow the whole epochs only; weights not given are ``DEFAULT_WEIGHT``; what has weight 0 supplies
+nothing, a weight below 0 is an error, names may hold any characters; an empty table
+gives an empty result; ties in the seeded order fall by doc_id and then tokens. ``mix`` reads four columns and returns its own; ``stage`` carries
+columns of any names.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specmatch.llm.frames import plain
 from specmatch.llm.quality_rules import SPACES
 from specmatch.session import cut
 
 DEFAULT_WEIGHT = 0.1
+#: What a weight of 0 divides by.
+_LEAST = 1e-300
 
 
 @dataclass(frozen=True)
@@ -36,13 +42,32 @@ class Targets:
     share: float = 1.0
     epochs: int = 3
     seed: int = 7
-    #: SQL of the domain of a source.
-    domain: str = "CASE CAST('0' || regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'news' ELSE 'reference' END"
+    #: SQL of the domain of a source: its number modulo 4, which its last two digits tell.
+    domain: str = "CASE CAST('0' || regexp_extract(source, '([0-9]{1,2})$', 1) AS INT) % 4 WHEN 0 THEN 'web' WHEN 1 THEN 'books' WHEN 2 THEN 'news' ELSE 'reference' END"
+
+    def __post_init__(self):
+        if any(not v >= 0 for w in (self.domains, self.languages, self.sources) for v in w.values()):
+            raise ValueError("weights are numbers of 0 or more")
+
+
+def _text(name: str) -> str:
+    """SQL of a string, in any dialect: quotes and backslashes by their codes."""
+    return "||".join(f"chr({ord(part)})" if part in "'\\" else f"'{part}'" for part in re.split(r"(['\\])", name) if part) or "''"
+
+
+def _number(weight: float) -> str:
+    return f"CAST({float(weight)!r} AS DOUBLE)"
 
 
 def _case(column: str, weights: dict[str, float]) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN {float(v)!r}e0" for k, v in weights.items())
-    return f"CASE {column} {whens} ELSE {DEFAULT_WEIGHT!r}e0 END" if whens else f"{DEFAULT_WEIGHT!r}e0"
+    whens = " ".join(f"WHEN {column} = {_text(k)} THEN {_number(v or _LEAST)}" for k, v in weights.items())
+    return f"CASE {whens} ELSE {_number(DEFAULT_WEIGHT)} END" if whens else _number(DEFAULT_WEIGHT)
+
+
+def _none(targets: Targets) -> str:
+    """SQL of whether a leaf or a node above it has weight 0."""
+    zero = [f"{column} = {_text(k)}" for column, weights in (("domain", targets.domains), ("lang", targets.languages), ("source", targets.sources)) for k, v in weights.items() if not v]
+    return " OR ".join(zero) or "1 = 0"
 
 
 def _fill(name: str, below: str, parent: str, key: str, weight: str, up: str) -> str:
@@ -68,7 +93,7 @@ def plan_sql(targets: Targets, tokens: str) -> str:
     """The whole selection over ``tokens`` (doc_id, domain, lang, source, tokens, h). Runs in Spark and in DuckDB."""
     return f"""
 WITH leaf AS (
-  SELECT 0 AS root, domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS BIGINT) * {targets.epochs} AS capacity
+  SELECT 0 AS root, domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CASE WHEN {_none(targets)} THEN 0 ELSE CAST(sum(tokens) AS BIGINT) * {targets.epochs} END AS capacity
   FROM {tokens} GROUP BY domain, lang, source),
 top AS (SELECT 0 AS root, CAST(floor(sum(tokens) * {targets.share!r}e0) AS DOUBLE) AS budget FROM leaf),
 {_fill('d', 'leaf', 'root', 'domain', _case('domain', targets.domains), 'top')},
@@ -97,11 +122,11 @@ FROM placed
 """
 
 
-def _named() -> tuple:
+def _named(text: str = "text", lang: str = "lang", source: str = "source") -> tuple:
     """lang, source and tokens of a document, as columns."""
-    bare = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     tokens = F.when(bare == "", 0).otherwise(F.regexp_count(bare, F.lit(r"[\x20\x09-\x0D]+")) + 1).cast("long")
-    return F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), tokens.alias("tokens")
+    return F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), tokens.alias("tokens")
 
 
 def token_table(docs: DataFrame, targets: Targets) -> DataFrame:
@@ -130,11 +155,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: each document as often as it is taken, with its own columns. Rows that share doc_id, leaf and tokens are
     alike to ``mix``: their copies are dealt to them one by one, most first, in order of a hash of the text; a null doc_id is an id
     like any other."""
-    key = ["_id", "_none", "_lang", "_source", "_tokens"]
-    ids = (F.coalesce(F.col("doc_id"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"))
-    copies = mix(docs).select(*ids, F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("tokens").alias("_tokens"), "copies").groupBy(*key).agg(F.sort_array(F.collect_list("copies"), False).alias("_copies")).where("_copies[0] > 0")
-    lang, source, tokens = _named()
-    rows = docs.select("*", *ids, lang.alias("_lang"), source.alias("_source"), tokens.alias("_tokens")).join(copies, key)
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    taken = rows.withColumn("_n", F.element_at("_copies", F.col("_row"))).where("_n > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    base, name = plain(docs)
+    doc_id, text = name["doc_id"], name["text"]
+    own = base.select(*(F.col(name[c]).alias(c) for c in ("doc_id", "text", "lang", "source")))
+    key = ["id", "none", "lang", "source", "tokens"]
+    ids = lambda c: (F.coalesce(F.col(c), F.lit(0)).alias("id"), F.col(c).isNull().alias("none"))
+    copies = mix(own).select(*ids("doc_id"), "lang", "source", "tokens", "copies").groupBy(*key).agg(F.sort_array(F.collect_list("copies"), False).alias("copies")).where("copies[0] > 0")
+    rows = base.select("*", *ids(doc_id), *_named(text, name["lang"], name["source"])).join(copies, key)
+    rows = rows.withColumn("row", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text))))
+    taken = rows.withColumn("n", F.element_at("copies", F.col("row"))).where("n > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select(*base.columns).toDF(*docs.columns)

@@ -13,7 +13,7 @@ A pair at the threshold is missed with a chance below 1e-7, whatever the thresho
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; with fewer words than a shingle the
 whole sequence is the only shingle; repeated rows and equal texts share a component; a null doc_id never names a component;
-an empty table gives an empty result.
+an empty table gives an empty result. ``near_duplicates`` reads two columns and returns its own; ``stage`` carries columns of any names.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specmatch.llm.frames import plain
 from specmatch.llm.textvec import LOWER, U64, mix, pieces, prefix_hash, small_batches, span_hash, utf8, words
 from specmatch.operators.components import connected_components
 from specmatch.session import cut
@@ -271,7 +272,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at similarity 0.8: the one that names it. Rows repeated under one doc_id with one text stay once; rows
     with a null doc_id stay, since no other document can stand for them."""
-    keep = near_duplicates(docs, num=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    found = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").withColumn("_same", F.xxhash64("text"))
-    once = found.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_same").orderBy("_same"))).where("_row = 1")
-    return once.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    base, name = plain(docs)
+    i, t = name["doc_id"], name["text"]
+    keep = near_duplicates(base, i, t, num=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    found = base.join(keep, F.col(i).cast("long") == F.col("doc_id"), "left_semi").withColumn("same", F.xxhash64(t))
+    once = found.withColumn("row", F.row_number().over(Window.partitionBy(i, "same").orderBy("same"))).where("row = 1")
+    return once.select(*base.columns).unionByName(base.where(F.col(i).isNull())).toDF(*docs.columns)

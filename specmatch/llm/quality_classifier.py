@@ -6,8 +6,9 @@ into one Spark column expression. Scoring is JVM-side only, and the model is a f
 
 Edge cases: null or empty texts score through the same expression (all statistics are 0); repeated labels of a
 document count once, the lower one; labels without a document, null labels and an empty label table are harmless
-(without both classes the score is the smoothed share of label 1); clashing column names are replaced in the output
-by ``score``/``predicted`` only.
+(without both classes the score is the smoothed share of label 1); labelled rows beyond ``FIT_ROWS`` are left out in order of a hash
+of doc_id, ties by doc_id; equal scores mean equal decisions. ``classify`` replaces columns named like a measure, ``score`` or
+``predicted``; ``stage`` carries columns of any names unchanged.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specmatch.llm.frames import plain
 from specmatch.llm.quality_rules import measure
 
 STATISTICS = ("n_words", "mean_word", "symbol_ratio", "stop_ratio", "shout_ratio", "dup_line_ratio", "repeat_ratio", "n_lines", "n_dup_lines", "n_repeat_words")
@@ -148,9 +150,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     return fit(got[list(STATISTICS)].to_numpy(), got["_label"].to_numpy(float))
 
 
-def classify(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` with its statistics, ``score`` and ``predicted``."""
-    base = measure(docs.drop("score", "predicted"))
+    base = measure(docs.drop("score", "predicted"), text_col)
     return base.withColumn("score", model.score()).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
@@ -163,6 +165,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier does not reject, with their own columns."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    judged = classify(docs, learn(docs, labels)).withColumn("_row", F.monotonically_increasing_id())
+    base, name = plain(docs)
+    model = learn(base.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text")), labels)
+    judged = classify(base, model, text_col=name["text"]).withColumn("row", F.monotonically_increasing_id())
     # a filter is not pushed below a column that is not deterministic: else the optimizer would write the whole expression out in it again
-    return judged.where("predicted = 1 AND _row >= 0").select(*docs.columns)
+    return judged.where("predicted = 1 AND row >= 0").select(*base.columns).toDF(*docs.columns)

@@ -1,8 +1,8 @@
 """Quality rules: a threshold table compiled into one projection of native columns.
 
 Edge cases: a null text counts as empty; an empty or blank text has no words and fails; repeated rows are
-judged one by one; other columns pass through untouched (measures carry fixed names and replace clashing ones
-only in the output of ``measure``).
+judged one by one; an empty table gives an empty result. Other columns, whatever their names, pass through untouched; those named like a
+measure, ``base_failed``, ``failed`` or ``kept`` are replaced.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specmatch.llm.frames import plain
+
 SPACES = " \t\n\x0b\f\r"
 SEPARATOR = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -66,8 +68,14 @@ def _without(text: Column, chars: str) -> Column:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` and the measures the rules use. Native columns only; each array is made once, in a projection of its own."""
-    base = [c for c in docs.columns if c not in MEASURES and not c.startswith("_q_")]
-    out = docs.select(*[F.col(f"`{c}`") for c in base], F.coalesce(F.col(text_col), F.lit("")).alias("_q_text"))
+    own, name = plain(docs)
+    kept = [c for c in docs.columns if c not in MEASURES]
+    out = _measured(own.select(*[name[c] for c in kept], F.coalesce(F.col(name[text_col]), F.lit("")).alias("_q_text")))
+    return out.toDF(*kept, *MEASURES)
+
+
+def _measured(out: DataFrame) -> DataFrame:
+    """The frame without its ``_q_text``, and that text's measures."""
     out = out.select("*", word_array(F.col("_q_text")).alias("_q_words"), F.filter(F.split("_q_text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("_q_lines"))
     stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
     out = out.select(
@@ -111,7 +119,7 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_s
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
     """Measures, ``base_failed``, ``failed`` (names of broken rules) and ``kept``."""
-    out = measure(docs, text_col)
+    out = measure(docs, text_col).drop("base_failed", "failed", "kept")
     base = (F.col("n_words") < 50) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * F.col("n_words"))
     failed = F.array_compact(F.array(*[F.when(~r.holds(), F.lit(r.name)) for r in rules]))
     return out.select("*", base.alias("base_failed"), failed.alias("failed")).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from specmatch.llm.frames import plain
 from specmatch.llm.textvec import pieces
 
 MARK = "▁"
@@ -273,5 +274,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: every document with its ids."""
-    return encode(docs)
+    """The pipeline's last stage: every document with its columns, and its ids and n_tokens (which replace columns of these names)."""
+    new = ("ids", "n_tokens")
+    base, name = plain(docs, new)
+    return encode(base, text_col=name["text"]).toDF(*(c for c in docs.columns if c not in new), *new)

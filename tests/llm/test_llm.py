@@ -296,8 +296,7 @@ def test_induced_sort_against_sorting(monkeypatch, recur, memory, block):
         assert got.tolist() == order and lcp.tolist() == common
 
 
-def brute_dedup(texts: list[bytes]) -> list[tuple]:
-    n = suffix_dedup.WINDOW
+def brute_dedup(texts: list[bytes], n: int = suffix_dedup.WINDOW) -> list[tuple]:
     seen = Counter(b[i : i + n] for b in texts for i in range(len(b) - n + 1))
     out = []
     for b in texts:
@@ -318,6 +317,42 @@ def test_suffix_dedup_against_brute_force(docs, texts):
     assert shown(suffix_dedup.removed(docs)) == brute_dedup([texts[d].encode() for d in sorted(texts)])
 
 
+def both_windows(df):
+    rows = df.orderBy("doc_id").collect()
+    return [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows], [(r.n_passage_bytes, r.n_passages) for r in rows]
+
+
+def test_suffix_dedup_query_against_brute_force(spark, texts):
+    raw = [texts[d].encode() for d in sorted(texts)]
+    assert both_windows(suffix_dedup.query(spark, SF)) == (brute_dedup(raw), [x[1:3] for x in brute_dedup(raw, suffix_dedup.PASSAGE)])
+
+
+def test_suffix_dedup_two_windows(spark, edges, empty, monkeypatch):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    short, long, mixed = word(230), word(500), [word(150) for _ in range(4)]
+    rows = [word(90) + short + word(700), short + word(300), word(20) + long, long[:300] + word(500) + long[200:], "".join(mixed), mixed[0] + mixed[1] + word(9) + mixed[1] + mixed[2], "".join(mixed[2:]) + "q" * 900, "ab" * 700, None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    raw = [(r or "").encode() for r in rows]
+    want = brute_dedup(raw), [x[1:3] for x in brute_dedup(raw, suffix_dedup.PASSAGE)]
+    assert both_windows(suffix_dedup.digests(df)) == want
+    monkeypatch.setattr(suffix_dedup, "_SEGMENT", 500)  # segments of the texts that the first window picks
+    assert both_windows(suffix_dedup.digests(df)) == want
+    assert suffix_dedup.digests(edges).count() == edges.count()
+    assert suffix_dedup.digests(empty).count() == 0
+
+
+def test_suffix_dedup_reads_every_row_of_a_key():
+    rng = np.random.default_rng(4)
+    text = bytes(rng.integers(97, 110, 600, np.uint8))
+    import pyarrow as pa
+
+    rows = [(7, k, 1, 0, 101, 150, text[:499] + bytes([k])) for k in range(250)]  # the last window is each row's own
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "uid", "c", "lo", "n", "off", "ctx"), r)) for r in rows[low : low + 10]]) for low in range(0, 250, 10)]
+    got = [x for b in suffix_dedup._sort(400, 64, 1000)(iter(batches)) for x in b.to_pylist()]
+    assert {x["uid"] for x in got} == set(range(250)) and all((x["lo"], x["hi"]) == (0, 499) for x in got)
+
+
 def test_suffix_dedup_edges(spark, edges, empty, monkeypatch):
     rng = np.random.default_rng(5)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
@@ -422,6 +457,24 @@ def test_lm_edges(edges, empty):
     assert {r.score for r in lm_scoring.score(edges, nothing).collect()} == {0.0}
 
 
+def test_lm_missing_file_is_an_error(spark, docs, tmp_path):
+    model = lm_scoring.train(docs)
+    assert {f.split("-")[0] for f in model.files} == {"bigram", "word"}
+    import os
+
+    os.remove(model.folder.removeprefix("file://") + "/" + min(model.files))
+    with pytest.raises(Exception, match="No such file"):
+        lm_scoring.score(docs, model).collect()
+
+
+def test_lm_rare_pairs(spark):
+    rng = np.random.default_rng(2)
+    prose = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 60)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate([*prose, *prose[:5]])), "doc_id long, text string")
+    got = {r.doc_id: r.n_rare_pairs for r in lm_scoring.score(df, lm_scoring.train(df)).collect()}
+    assert all((got[k] == 0) == (k < 5 or k >= 40) for k in got)
+
+
 # --- 8 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -566,12 +619,41 @@ def test_pipeline(spark):
     assert max(tops.values()) == 1
 
 
+CLASHES = ["_row", "_q_x", "_uid", "_runs", "_copies", "_copy", "_same", "score", "predicted", "n_words", "a.b", "component", "set_key", "uid", "runs", "row", "same", "c0", "key", "copies", "tokens", "_n_bytes", "ids"]
+
+
 def test_pipeline_stages_on_edges(spark, edges, empty):
     import corpus_pipeline
 
-    for frame in (edges, empty):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, frame, SF)
-            assert out.count() >= 0
-            if name != "sentencepiece":
-                assert out.columns == frame.columns
+    odd = edges.select("*", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0
+        plain, out = stage(spark, edges, SF), stage(spark, odd, SF)
+        kept = [c for c in odd.columns if name != "sentencepiece" or c != "ids"]
+        assert out.columns == [*kept, *(["ids", "n_tokens"] if name == "sentencepiece" else [])]
+        assert plain.columns == [*edges.columns, *out.columns[len(kept) :]]
+        rows = out.collect()
+        assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in plain.collect())
+        for r in rows:
+            own = "none" if r.doc_id is None else r.doc_id
+            assert all(r[c] == f"{c} of {own}" for c in CLASHES if c in kept)
+        texts = Counter((r.doc_id, r.text) for r in rows)
+        every = Counter((r.doc_id, r.text) for r in edges.collect())
+        if name == "minhash_near_dedup":
+            assert all(n == 1 for n in texts.values()) and set(texts) < set(every) and (6, EDGES[6]) not in texts and (None, "no id at all in this row") in texts
+        elif name == "sentencepiece":
+            assert texts == every
+        elif name == "suffix_array_dedup":
+            assert sum(texts.values()) == sum(every.values()) and {(r.doc_id, r.n_chars) for r in rows if r.doc_id == 8} == {(8, 0)}
+        elif name == "quality_classifier":
+            assert texts == +(texts & every)
+
+
+def test_mixing_weights_of_any_name(spark, docs):
+    odd = docs.withColumn("source", F.when(F.col("source") == "src0", "it's").when(F.col("source") == "src1", "a\\b").when(F.col("source") == "src2", "site12345678901").otherwise(F.col("source")))
+    rows = mixing.mix(odd, mixing.Targets(sources={"it's": 0.0, "a\\b": 5.0}, languages={"de": 0.0})).collect()
+    assert len(rows) == docs.count() and {r.domain for r in rows if r.source == "site12345678901"} == {"books"}
+    assert all(r.copies == 0 for r in rows if r.lang == "de" or r.source == "it's")
+    assert any(r.copies for r in rows if r.source == "a\\b")
+    with pytest.raises(ValueError):
+        mixing.Targets(domains={"web": -1.0})
