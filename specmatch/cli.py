@@ -18,6 +18,7 @@ from specmatch.operators import cluster
 from specmatch.plans import finder, reuse
 from specmatch.plans.config import MatchConfig
 from specmatch.plans.match import match_features, with_ids
+from specmatch.session import cut
 from specmatch.sources import metadata, readers
 
 
@@ -180,13 +181,14 @@ def _reuse(spark: SparkSession, args: argparse.Namespace) -> tuple[list[str], di
         raise ValueError("no analysis ids")
     docs = metadata.read_cache(spark, args.cache_dir)
     meta = metadata.metadata(docs).where(F.col("analysis_id").isin(ids))
-    meta = meta.withColumn("ion_mode", F.col("ion_mode_norm")).withColumn("chromatography", F.col("chromatography_norm"))
+    meta = cut(meta.withColumn("ion_mode", F.col("ion_mode_norm")).withColumn("chromatography", F.col("chromatography_norm")))
     if meta.isEmpty():
         raise ValueError("none of the analyses is in the cache")
     readers.write_table(meta.orderBy("analysis_id"), str(out / "analysis_metadata.tsv"), "\t")
     kept, dropped = reuse.group_analyses(meta, args.min_group_size, args.allow_unknown_strata)
     readers.write_table(dropped.orderBy("analysis_id", "reason"), str(out / "dropped_analyses.tsv"), "\t")
     names = metadata.labelled_metabolites(docs.withColumn("analysis_id", F.col("analysis_id_hint")).drop("path", "analysis_id_hint")).where(F.col("analysis_id").isin(ids))
+    names = cut(names)
     readers.write_table(names.orderBy("analysis_id", "name", "seq"), str(out / "analysis_labeled_metabolites.tsv"), "\t")
     outputs = [str(out / n) for n in ("analysis_metadata.tsv", "dropped_analyses.tsv", "analysis_labeled_metabolites.tsv")]
     groups, failed = {}, {}

@@ -106,6 +106,21 @@ def metabolite_name(c: Column) -> Column:
     return F.upper(F.regexp_replace(F.trim(c), r"\s+", " "))
 
 
+def facet_ion_mode(c: Column) -> Column:
+    """The finder's form: blank stays blank, a mode that is neither positive nor negative stays as it is, in lower case."""
+    s = F.lower(F.coalesce(F.trim(c), F.lit("")))
+    return F.when(s.contains("pos"), "positive").when(s.contains("neg"), "negative").otherwise(s)
+
+
+def facet_chromatography(c: Column) -> Column:
+    s = F.lower(F.coalesce(F.trim(c), F.lit("")))
+    return F.when(s.contains("hilic"), "hilic").when(s.contains("reverse") | s.contains("rp") | s.contains("c18"), "reversed_phase").when(s.contains("gc"), "gc").otherwise(s)
+
+
+def facet_instrument(c: Column) -> Column:
+    return F.upper(F.coalesce(F.trim(c), F.lit("")))
+
+
 def sample_bucket(c: Column) -> Column:
     return F.when(c.isNull(), "<missing>").when(c <= 5, "1-5").when(c <= 10, "6-10").when(c <= 20, "11-20").when(c <= 50, "21-50").when(c <= 100, "51-100").otherwise("101+")
 

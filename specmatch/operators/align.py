@@ -114,12 +114,12 @@ def fit_transfer(rt1: np.ndarray, rt2: np.ndarray, cfg: MatchConfig) -> Transfer
     if n < least:
         return Transfer(n_anchors=n, note="too_few_anchors")
     rng = np.random.default_rng(0)
-    tol = float(np.clip(0.05 * (rt1.max() - rt1.min()), 0.2, 1.0))
+    tol = float(np.clip(0.05 * min(np.ptp(rt1), np.ptp(rt2)), 0.2, 1.0))
     best = (0, 1.0, 0.0)
     for _ in range(min(cfg.rt_transfer_ransac_iters or 2000, max(200, 2 * n))):
         i, j = rng.choice(n, 2, replace=False)
         dx = rt2[j] - rt2[i]
-        if abs(dx) < 1e-9:
+        if abs(dx) <= 1e-6:
             continue
         slope = (rt1[j] - rt1[i]) / dx
         if slope <= 0:
@@ -129,14 +129,16 @@ def fit_transfer(rt1: np.ndarray, rt2: np.ndarray, cfg: MatchConfig) -> Transfer
         if hits > best[0]:
             best = (hits, slope, offset)
     hits, slope, offset = best
-    if hits < 2:
+    if not hits:
         return Transfer(n_anchors=n, note="ransac_failed")
     inside = np.abs(rt1 - (slope * rt2 + offset)) <= tol
     x, y = rt2[inside], rt1[inside]
     sxx = ((x - x.mean()) ** 2).sum()
-    slope = float(((x - x.mean()) * (y - y.mean())).sum() / sxx) if sxx > 1e-12 else float(slope)
-    slope = float(np.clip(slope, 1 / 120, 120))
-    offset = float(y.mean() - slope * x.mean())
+    refit = float(((x - x.mean()) * (y - y.mean())).sum() / sxx) if sxx > 1e-12 else 0.0
+    if refit > 0:
+        slope, offset = refit, float(y.mean() - refit * x.mean())
+    # else the line that the most anchors agree on stays
+    slope, offset = float(np.clip(slope, 1 / 120, 120)), float(offset)
     p95 = float(np.quantile(np.abs(y - (slope * x + offset)), 0.95))
     rho = float(np.corrcoef(_rank(x), _rank(y))[0, 1]) if len(x) > 2 else math.nan
     good = hits >= least and rho >= (cfg.rt_transfer_spearman_min or 0.8) and p95 <= (cfg.rt_transfer_p95_abs_resid_max or 2.0) and hits / n >= (cfg.rt_transfer_min_inlier_frac or 0.1)
@@ -177,7 +179,10 @@ def without_retention(cfg: MatchConfig) -> MatchConfig:
 
 def retention_ok(df: DataFrame, cfg: MatchConfig) -> bool:
     """Whether enough retentions are known and differ."""
-    n, finite, unique = stats.rt_quality(df, "rt", cfg.retention_round_decimals or 3).first()
+    return enough_retention(*stats.rt_quality(df, "rt", cfg.retention_round_decimals or 3).first(), cfg)
+
+
+def enough_retention(n: int, finite: int, unique: int, cfg: MatchConfig) -> bool:
     return bool(n) and finite / n >= (cfg.retention_min_finite_frac or 0.5) and (unique >= (cfg.retention_min_unique or 20) or unique / max(finite, 1) >= (cfg.retention_min_unique_frac or 0.01))
 
 

@@ -53,6 +53,11 @@ def expression_of(cluster_map: DataFrame, expr: DataFrame) -> DataFrame:
     return expr.join(cluster_map, ["study_id", "feature_id"]).select("study_id", "sample_id", "cluster_id", "v")
 
 
+def cluster_metadata(members: DataFrame, by: str = "cluster_id") -> DataFrame:
+    """Medians and number of studies of each cluster, from its members (cluster_id, study_id, MZ, RT, Intensity)."""
+    return members.groupBy(by).agg(F.percentile("MZ", 0.5).alias("mz_med"), F.percentile("RT", 0.5).alias("rt_med"), F.percentile("Intensity", 0.5).alias("intensity_med"), F.countDistinct("study_id").alias("n_studies"))
+
+
 def _study(features: DataFrame, study: str) -> DataFrame:
     from specmatch.plans.match import with_ids
 
@@ -135,7 +140,7 @@ def symmetric(features: DataFrame, cfg: MatchConfig, expr: DataFrame | None = No
     kept = pick(comp.select("node", "component", "study"), edges).join(nodes, "node")
     number = kept.select("component").distinct().withColumn("cluster_id", F.format_string("C%05d", F.row_number().over(Window.orderBy("component"))))
     cmap = cut(kept.join(number, "component").select("cluster_id", "study_id", "feature_id", "MZ", "RT", "Intensity"))
-    meta = cmap.groupBy("cluster_id").agg(F.percentile("MZ", 0.5).alias("mz_med"), F.percentile("RT", 0.5).alias("rt_med"), F.percentile("Intensity", 0.5).alias("intensity_med"), F.countDistinct("study_id").alias("n_studies"))
+    meta = cluster_metadata(cmap)
     cmap = cmap.select("cluster_id", "study_id", "feature_id")
     return ClusterResult("symmetric_mutual_graph", meta, cmap, None if expr is None else expression_of(cmap, expr), {"n_studies": len(ids)})
 

@@ -81,20 +81,25 @@ def _widths(x: np.ndarray, frac: float) -> np.ndarray:
 
 
 def _smooth(x: np.ndarray, y: np.ndarray, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The local line at each of ``rows`` of the sorted points, weighted by the tricube of distance."""
+    """The local line at each of ``rows`` of the sorted points, weighted by the tricube of distance; where the width is 0 or the
+    points do not fix a line, the mean of the points at that place."""
     out = np.empty(len(rows))
+    begin, end = np.searchsorted(x, x[rows], "left"), np.searchsorted(x, x[rows], "right")
     first, last = np.searchsorted(x, x[rows] - h[rows], "left"), np.searchsorted(x, x[rows] + h[rows], "right")
     for k, (row, a, b) in enumerate(zip(rows.tolist(), first.tolist(), last.tolist(), strict=True)):
         at, xs, ys = x[row], x[a:b], y[a:b]
+        own = y[begin[k] : end[k]].mean()
+        if h[row] <= 0:
+            out[k] = own
+            continue
         w = np.clip(1 - (np.abs(xs - at) / h[row]) ** 3, 0, None) ** 3
         sw = w.sum()
         if sw <= 0:
-            out[k] = y[row]
+            out[k] = own
             continue
         mx, my = (w * xs).sum() / sw, (w * ys).sum() / sw
         sxx = (w * (xs - mx) ** 2).sum()
-        slope = (w * (xs - mx) * (ys - my)).sum() / sxx if sxx > 1e-12 else 0.0
-        out[k] = my + slope * (at - mx)
+        out[k] = my + (w * (xs - mx) * (ys - my)).sum() / sxx * (at - mx) if sw * sxx >= 1e-12 else own
     return out
 
 
@@ -102,8 +107,7 @@ def _sorted(x: np.ndarray, y: np.ndarray, df: int) -> tuple[np.ndarray, np.ndarr
     """Points in order of x, their widths, and the first row of each distinct x."""
     order = np.argsort(x, kind="stable")
     x, y = x[order], y[order]
-    h = np.maximum(_widths(x, min(max(df / len(x), 0.1), 1.0)), 1e-12)
-    return x, y, h, np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return x, y, _widths(x, min(max(df / len(x), 0.1), 1.0)), np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
 
 
 def lowess_knots(x: np.ndarray, y: np.ndarray, df: int) -> tuple[tuple[float, float], ...]:

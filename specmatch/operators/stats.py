@@ -24,19 +24,40 @@ def retention_order(df: DataFrame, rt: str = "rt", by: tuple[str, ...] = ()) ->
 
 def mad_scale(df: DataFrame, value: Column, floor: float = 1e-3) -> DataFrame:
     """1.4826 times the median distance from the median; the population deviation where that is 0; never below ``floor``."""
-    x = df.select(value.alias("x")).where("x IS NOT NULL")
-    middle = x.agg(F.percentile("x", 0.5).alias("m"))
-    spread = x.crossJoin(F.broadcast(middle)).agg(F.percentile(F.abs(F.col("x") - F.col("m")), 0.5).alias("mad"), F.stddev_pop("x").alias("sd"))
-    return spread.select(F.greatest(F.when(F.col("mad") > 0, 1.4826 * F.col("mad")).when(F.col("sd") > 0, F.col("sd")).otherwise(floor), F.lit(floor)).alias("scale"))
+    return mad_scales(df, {"scale": value}, floor)
+
+
+def mad_scales(df: DataFrame, values: dict[str, Column], floor: float = 1e-3) -> DataFrame:
+    """``mad_scale`` of several values at once: one row, a column for each."""
+    if not values:
+        return df.sparkSession.range(1).drop("id")
+    x = df.select(*[v.alias(f"x_{k}") for k, v in values.items()])
+    middle = x.agg(*[F.percentile(f"x_{k}", 0.5).alias(f"m_{k}") for k in values])
+    spread = x.crossJoin(F.broadcast(middle)).agg(*[c for k in values for c in (F.percentile(F.abs(F.col(f"x_{k}") - F.col(f"m_{k}")), 0.5).alias(f"mad_{k}"), F.stddev_pop(f"x_{k}").alias(f"sd_{k}"))])
+    one = lambda k: F.when(F.col(f"mad_{k}") > 0, 1.4826 * F.col(f"mad_{k}")).when(F.col(f"sd_{k}") > 0, F.col(f"sd_{k}")).otherwise(floor)
+    return spread.select(*[F.greatest(one(k), F.lit(floor)).alias(k) for k in values])
 
 
 def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     """(n, slope, intercept) of y on x, from sums about the means; a flat line where x does not vary, 0 below two points."""
-    p = df.select(F.col(x).alias("x"), F.col(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    mean = p.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
-    s = p.crossJoin(F.broadcast(mean)).agg(F.count("*").alias("n"), F.first("mx").alias("mx"), F.first("my").alias("my"), F.sum((F.col("x") - F.col("mx")) * (F.col("y") - F.col("my"))).alias("sxy"), F.sum((F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))).alias("sxx"))
-    slope = F.when((F.col("n") >= 2) & (F.col("sxx") > 1e-12), F.col("sxy") / F.col("sxx")).otherwise(0.0)
-    return s.select("n", slope.alias("slope"), F.when(F.col("n") >= 2, F.col("my") - slope * F.col("mx")).otherwise(0.0).alias("intercept"))
+    return lines(df, {"": (x, y)}).select("n", "slope", "intercept")
+
+
+def lines(df: DataFrame, terms: dict[str, tuple[str, str]]) -> DataFrame:
+    """``ols`` of several terms (x, y) at once: one row with {term}n, {term}slope and {term}intercept of each, and rows, their number."""
+    both = lambda c, x, y: F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(c))
+    p = df.select(*[c for k, (x, y) in terms.items() for c in (both(x, x, y).alias(f"x_{k}"), both(y, x, y).alias(f"y_{k}"))])
+    mean = p.agg(*[F.avg(f"{c}_{k}").alias(f"m{c}_{k}") for k in terms for c in "xy"])
+    sums = [F.count("*").alias("rows")]
+    for k in terms:
+        dx, dy = F.col(f"x_{k}") - F.col(f"mx_{k}"), F.col(f"y_{k}") - F.col(f"my_{k}")
+        sums += [F.count(f"x_{k}").alias(f"n_{k}"), F.first(f"mx_{k}").alias(f"mx_{k}"), F.first(f"my_{k}").alias(f"my_{k}"), F.sum(dx * dy).alias(f"sxy_{k}"), F.sum(dx * dx).alias(f"sxx_{k}")]
+    s = p.crossJoin(F.broadcast(mean)).agg(*sums)
+    out = [F.col("rows")]
+    for k in terms:
+        slope = F.when((F.col(f"n_{k}") >= 2) & (F.col(f"sxx_{k}") > 1e-12), F.col(f"sxy_{k}") / F.col(f"sxx_{k}")).otherwise(0.0)
+        out += [F.col(f"n_{k}").alias(f"{k}n"), slope.alias(f"{k}slope"), F.when(F.col(f"n_{k}") >= 2, F.col(f"my_{k}") - slope * F.col(f"mx_{k}")).otherwise(0.0).alias(f"{k}intercept")]
+    return s.select(*out)
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -69,6 +90,21 @@ def rt_unit(df: DataFrame, rt: str = "rt") -> DataFrame:
     return s.withColumn("scale", F.when((F.col("n") >= 20) & (F.col("med") >= 100) & (F.col("p95") >= 300) & (F.col("top") >= 500), 1.0 / 60.0).otherwise(1.0))
 
 
+def rt_profile(sides: dict[str, DataFrame], decimals: int = 3) -> dict[str, dict]:
+    """``rt_unit`` and ``rt_quality`` of several studies (rt) in one job; distinct values are counted after scaling."""
+    both = None
+    for name, df in sides.items():
+        own = df.select(F.lit(name).alias("side"), F.col("rt").cast("double").alias("rt"))
+        both = own if both is None else both.unionByName(own)
+    pos = F.when(F.col("rt") > 0, F.col("rt"))
+    stat = both.groupBy("side").agg(F.count("*").alias("n"), F.count("rt").alias("n_finite"), F.count(pos).alias("n_pos"), F.percentile(pos, 0.5).alias("med"), F.percentile(pos, 0.95).alias("p95"), F.max(pos).alias("top"), *[F.countDistinct(F.rint(F.col("rt") * k * float(10**decimals))).alias(f"u{i}") for i, k in enumerate((1.0, 1.0 / 60.0))])
+    out = {}
+    for r in stat.collect():  # a row for each study
+        seconds = r.n_pos >= 20 and r.med >= 100 and r.p95 >= 300 and r.top >= 500
+        out[r.side] = {"n": r.n, "n_finite": r.n_finite, "scale": 1.0 / 60.0 if seconds else 1.0, "unique": r.u0, "unique_scaled": r.u1 if seconds else r.u0}
+    return {name: out.get(name, {"n": 0, "n_finite": 0, "scale": 1.0, "unique": 0, "unique_scaled": 0}) for name in sides}
+
+
 def rt_quality(df: DataFrame, rt: str = "rt", decimals: int = 3) -> DataFrame:
     """(n, n_finite, n_unique): known retentions, and distinct ones after rounding."""
     k = float(10**decimals)

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specmatch.session import cut
+
+#: Features of a block and samples of a chunk: dense slices of some 10 MB.
+_BLOCK, _CHUNK = 1024, 1024
+
 
 def standardise(expr: DataFrame) -> DataFrame:
     """``z``: values of a feature about its mean over its samples, in sample deviations (1 where they do not vary)."""
@@ -25,25 +34,88 @@ def correlate(z: DataFrame, pairs: DataFrame, n_samples: int) -> DataFrame:
     return pairs.join(zi, "i").join(zj, ["j", "sample_id"]).groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n_samples - 1)).alias("r"))
 
 
-def correlations(expr: DataFrame, n_samples: int) -> DataFrame:
-    """``r`` of every two features (i, j) that share a sample, in both orders."""
+def _products(left: pa.Table, right: pa.Table, k: int | None) -> pa.Table:
+    """(i, j, s) of two blocks of features: sums of products over shared samples; with ``k`` the k largest of each i. Samples go
+    by in chunks, so two dense slices and one block by block product are held, whatever the number of samples."""
+    cols = [[np.asarray(t.column(c)) for c in names] for t, names in ((left, ("feature_id", "sample_id", "z")), (right, ("f2", "s2", "z2")))]
+    (fi, ri), (fj, rj) = (np.unique(c[0], return_inverse=True) for c in cols)
+    samples = np.intersect1d(cols[0][1], cols[1][1])
+    total, shared = np.zeros((len(fi), len(fj))), np.zeros((len(fi), len(fj)), np.float32)
+    for low in range(0, len(samples), _CHUNK):
+        part = samples[low : low + _CHUNK]
+        dense = []
+        for rows, (_, s, z), n in ((ri, cols[0], len(fi)), (rj, cols[1], len(fj))):
+            at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+            here = part[at] == s
+            value, there = np.zeros((n, len(part))), np.zeros((n, len(part)), np.float32)
+            value[rows[here], at[here]], there[rows[here], at[here]] = z[here], 1
+            dense.append((value, there))
+        total += dense[0][0] @ dense[1][0].T
+        shared += dense[0][1] @ dense[1][1].T
+    good = (shared > 0) & (fi[:, None] != fj[None, :])
+    if k is not None and k < len(fj):
+        score = np.where(good, -np.abs(total), np.inf)
+        top = np.argsort(score, axis=1, kind="stable")[:, :k]  # fj is in order: ties to the smaller j
+        mine = np.zeros_like(good)
+        np.put_along_axis(mine, top, True, 1)
+        good &= mine
+    i, j = np.nonzero(good)
+    return pa.table({"i": fi[i], "j": fj[j], "s": total[i, j]})
+
+
+def correlations(expr: DataFrame, n_samples: int, k: int | None = None) -> DataFrame:
+    """``r`` of every two features (i, j) that share a sample, in both orders; with ``k`` at least the k largest of each i.
+
+    Features are dealt to blocks of some ``_BLOCK``, and each two blocks meet in one task as dense products: a value is sent once for each
+    block, not once for each partner, and with ``k`` a task gives back k rows for a feature."""
     z = standardise(expr)
-    a, b = z.select("sample_id", F.col("feature_id").alias("i"), F.col("z").alias("zi")), z.select("sample_id", F.col("feature_id").alias("j"), F.col("z").alias("zj"))
-    return a.join(b, "sample_id").where("i != j").groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n_samples - 1)).alias("r"))
-
-
-def corr_knn(expr: DataFrame, k: int, n_samples: int) -> DataFrame:
-    """(i, j, rank, w): each feature's k most correlated others among those that share a sample; weights sum to 1 in absolute value.
-
-    Pairs are formed within samples: the work is the sum over samples of the square of its features, as the full
-    matrix needs; for wide studies use ``local_rt``, which bounds the partners of a feature.
+    blocks = max(1, -(-expr.agg(F.countDistinct("feature_id")).first()[0] // _BLOCK))
+    own, every = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = z.withColumn("p", own.cast("int")).withColumn("q", every)
+    b = z.select(F.col("feature_id").alias("f2"), F.col("sample_id").alias("s2"), F.col("z").alias("z2"), own.cast("int").alias("q"), every.alias("p"))
+    kind = dict(expr.dtypes)["feature_id"]
+    met = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(lambda x, y: _products(x, y, k).cast(_pairs_schema(kind)), f"i {kind}, j {kind}, s double")
+    return met.select("i", "j", (F.col("s") / (n_samples - 1)).alias("r"))
+
+
+def _pairs_schema(kind: str) -> pa.Schema:
+    name = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return pa.schema([("i", name), ("j", name), ("s", pa.float64())])
+
+
+def shrunk(expr: DataFrame, n_samples: int) -> DataFrame:
+    """``r`` of every two features that share a sample, from the covariance shrunk to its mean variance by as much as Ledoit and
+    Wolf's formula says. Features without a value in a sample count as their mean there."""
+    stat = expr.groupBy("feature_id").agg(F.avg("v").alias("_m"))
+    x = expr.join(stat, "feature_id").select("sample_id", "feature_id", (F.col("v") - F.col("_m")).alias("z"))
+    a, b = x.select("sample_id", F.col("feature_id").alias("i"), F.col("z").alias("zi")), x.select("sample_id", F.col("feature_id").alias("j"), F.col("z").alias("zj"))
+    cross = a.join(b, "sample_id").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s"))
+    n = float(n_samples)
+    own = cross.where("i = j").agg(F.count("*").alias("p"), F.sum("s").alias("t")).first()
+    delta = cross.agg(F.sum(F.col("s") * F.col("s"))).first()[0] or 0.0
+    beta = x.groupBy("sample_id").agg(F.sum(F.col("z") * F.col("z")).alias("q")).agg(F.sum(F.col("q") * F.col("q"))).first()[0] or 0.0
+    p, trace = max(own["p"], 1), (own["t"] or 0.0) / n
+    mean = trace / p
+    spread = (delta / n**2 - 2 * mean * trace + p * mean * mean) / p
+    noise = min((beta / n - delta / n**2) / (p * n), spread)
+    weight = 0.0 if noise <= 0 or spread <= 0 else noise / spread
+    d = cross.where("i = j").select("i", F.sqrt(F.greatest((1 - weight) * F.col("s") / n + weight * mean, F.lit(1e-8))).alias("d"))
+    both = cross.where("i != j").join(d.withColumnRenamed("d", "di"), "i").join(d.select(F.col("i").alias("j"), F.col("d").alias("dj")), "j")
+    return both.select("i", "j", ((1 - weight) * F.col("s") / n / (F.col("di") * F.col("dj"))).alias("r"))
+
+
+def corr_knn(expr: DataFrame, k: int, n_samples: int, estimator: str = "sample", signed: bool = False) -> DataFrame:
+    """(i, j, rank, w): each feature's k most correlated others among those that share a sample; weights sum to 1 in absolute value
+    and, if ``signed``, keep the sign of the correlation.
+
+    The work is that of the full matrix, in blocks; for wide studies use ``local_rt``, which bounds the partners of a feature.
     """
-    return _nearest(correlations(expr, n_samples), k)
+    return _nearest(shrunk(expr, n_samples) if estimator == "ledoit_wolf" else correlations(expr, n_samples, k), k, signed)
 
 
-def _nearest(r: DataFrame, k: int) -> DataFrame:
+def _nearest(r: DataFrame, k: int, signed: bool = False) -> DataFrame:
     top = r.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy(F.abs("r").desc(), "j"))).where(F.col("rank") <= k)
-    return top.withColumn("w", F.abs("r") / F.greatest(F.sum(F.abs("r")).over(Window.partitionBy("i")), F.lit(1e-8)))
+    return top.withColumn("w", (F.col("r") if signed else F.abs("r")) / F.greatest(F.sum(F.abs("r")).over(Window.partitionBy("i")), F.lit(1e-8)))
 
 
 def rt_neighbours(features: DataFrame, window: float, half: int = 100) -> DataFrame:
@@ -59,21 +131,31 @@ def rt_neighbours(features: DataFrame, window: float, half: int = 100) -> DataFr
     return out.select("i", "j", (F.col("rt2") - F.col("rt1")).alias("d_rt"))
 
 
-def local_rt(features: DataFrame, expr: DataFrame, window: float, k: int, n_samples: int, half: int = 100) -> DataFrame:
-    return _nearest(correlate(standardise(expr), rt_neighbours(features, window, half).select("i", "j"), n_samples), k)
+def local_rt(features: DataFrame, expr: DataFrame, window: float, k: int, n_samples: int, half: int = 100, signed: bool = False) -> DataFrame:
+    return _nearest(correlate(standardise(expr), rt_neighbours(features, window, half).select("i", "j"), n_samples), k, signed)
+
+
+def draws(expr: DataFrame, n_boot: int, share: float, seed: int = 0) -> DataFrame:
+    """(boot_id, sample_id): ``n_boot`` draws of a share of the samples without replacement, in order of a seeded hash."""
+    samples = expr.select("sample_id").distinct().withColumn("boot_id", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    w = Window.partitionBy("boot_id")
+    ranked = samples.withColumn("_n", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "boot_id", "sample_id"), "sample_id"))).withColumn("_all", F.count("*").over(w))
+    return ranked.where(F.col("_n") <= F.greatest(F.lit(2), F.rint(F.lit(share) * F.col("_all")))).select("boot_id", "sample_id")
 
 
-def stable(expr: DataFrame, k: int, draws: DataFrame, n_boot: int, least: int) -> DataFrame:
-    """(i, j, n, w): neighbours found in ``least`` of ``n_boot`` resamples. ``draws``: (boot_id, sample_id), rows repeated as drawn."""
-    size = draws.groupBy("boot_id").agg(F.count("*").alias("n_s"))
-    drawn = draws.withColumn("_d", F.monotonically_increasing_id()).join(expr, "sample_id")
-    stat = drawn.groupBy("boot_id", "feature_id").agg(F.avg("v").alias("_m"), F.stddev_samp("v").alias("_s"))
-    z = drawn.join(stat, ["boot_id", "feature_id"]).select("boot_id", "_d", "feature_id", ((F.col("v") - F.col("_m")) / F.when(F.col("_s") > 1e-8, F.col("_s")).otherwise(1.0)).alias("z"))
-    a, b = z.select("boot_id", "_d", F.col("feature_id").alias("i"), F.col("z").alias("zi")), z.select("boot_id", "_d", F.col("feature_id").alias("j"), F.col("z").alias("zj"))
-    r = a.join(b, ["boot_id", "_d"]).where("i != j").groupBy("boot_id", "i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("_s")).join(F.broadcast(size), "boot_id").withColumn("r", F.col("_s") / (F.col("n_s") - 1))
-    w = Window.partitionBy("boot_id", "i")
-    top = r.withColumn("rank", F.row_number().over(w.orderBy(F.abs("r").desc(), "j"))).where(F.col("rank") <= k).withColumn("w", F.abs("r") / F.greatest(F.sum(F.abs("r")).over(w), F.lit(1e-8)))
-    return top.groupBy("i", "j").agg(F.count("*").alias("n"), F.avg("w").alias("w")).where(F.col("n") >= least)
+def stable_knn(expr: DataFrame, k: int, n_boot: int = 10, share: float = 0.8, freq: float = 0.6, seed: int = 0) -> DataFrame:
+    """(i, j, n, w): at most k neighbours found in a share ``freq`` (above 1: a number) of the draws, the most often found first;
+    weights are means over the draws that found them, and sum to 1."""
+    least = max(math.ceil(freq * n_boot) if freq <= 1 else int(freq), 1)
+    n = max(2, round(share * expr.agg(F.countDistinct("sample_id")).first()[0]))
+    drawn = cut(draws(expr, n_boot, share, seed))
+    found = None
+    for b in range(n_boot):
+        own = corr_knn(expr.join(drawn.where(F.col("boot_id") == b), "sample_id", "left_semi"), k, n).select("i", "j", "w")
+        found = own if found is None else found.unionByName(own)
+    kept = found.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("w").alias("_s")).where(F.col("n") >= least)
+    top = kept.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), F.desc("_s"), "j"))).where(F.col("_k") <= k).withColumn("w", F.col("_s") / F.col("n"))
+    return top.select("i", "j", "n", (F.col("w") / F.greatest(F.sum("w").over(Window.partitionBy("i")), F.lit(1e-8))).alias("w"))
 
 
 def structure_bonus(edges: DataFrame, g1: DataFrame, g2: DataFrame, p: str = "p_row_ot", mode: str = "mass", eps: float = 1e-8, ids1: DataFrame | None = None, ids2: DataFrame | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ CHOICES = {
     "retention_nontransferable_policy": ("soft", "disable"),
     "structure_graph": ("knn", "stable", "local_rt"),
     "structure_corr": ("pearson", "spearman"),
+    "structure_corr_estimator": ("sample", "ledoit_wolf"),
     "top1_policy": ("ot", "local", "hybrid"),
     "polarity": ("positive", "negative"),
     "mz_semantics_study_a": ("auto", "ion_mz", "neutral_mass"),
@@ -34,6 +35,7 @@ ALIASES = {
     "mz_semantics_study_a": {"": "auto", "unknown": "auto", "ion": "ion_mz", "mz": "ion_mz", "yes": "ion_mz", "measured": "ion_mz", "neutral": "neutral_mass", "neutral_masses": "neutral_mass"},
     "mz_semantics_study_b": {"": "auto", "unknown": "auto", "ion": "ion_mz", "mz": "ion_mz", "yes": "ion_mz", "measured": "ion_mz", "neutral": "neutral_mass", "neutral_masses": "neutral_mass"},
     "intensity_standardize": {"off": "none", "": "none"},
+    "structure_corr_estimator": {"empirical": "sample", "none": "sample", "ledoitwolf": "ledoit_wolf", "lw": "ledoit_wolf"},
 }
 
 

@@ -63,11 +63,12 @@ def prepare(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, Da
     if shift.b:
         b = b.withColumn("mz", F.col("mz") + shift.b)
     units = {"a": 1.0, "b": 1.0}
+    seen = stats.rt_profile({"a": a, "b": b}, cfg.retention_round_decimals or 3)
     if cfg.normalize_rt_units:
-        units = {s: float(stats.rt_unit(d).first()["scale"]) for s, d in (("a", a), ("b", b))}
+        units = {s: seen[s]["scale"] for s in "ab"}
         a, b = (d if units[s] == 1.0 else d.withColumn("rt", F.col("rt") * units[s]) for s, d in (("a", a), ("b", b)))
     note |= {"rt_unit_scale_study_a": units["a"], "rt_unit_scale_study_b": units["b"]}
-    ok = align.retention_ok(a, cfg), align.retention_ok(b, cfg)
+    ok = tuple(align.enough_retention(seen[s]["n"], seen[s]["n_finite"], seen[s]["unique_scaled" if cfg.normalize_rt_units else "unique"], cfg) for s in "ab")
     use, mode, reason = cfg, cfg.retention_mode, None
     if cfg.retention_mode == "mz_only":
         use, mode, reason = align.without_retention(cfg), "mz_only", "forced_mz_only"
@@ -96,6 +97,14 @@ def prepare(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, Da
     return a, b, use, note
 
 
+def candidates(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> DataFrame:
+    """Pairs within the tolerances of mass, retention and, where it is used, intensity."""
+    pairs = bandjoin.band_join(a, b, cfg.ppm, cfg.rt)
+    if cfg.use_intensity:
+        pairs = pairs.where(F.coalesce(F.abs(F.col("int2") - F.col("int1")) <= cfg.intensity_log_diff_max, F.lit(False)))
+    return pairs
+
+
 def _gates(pairs: DataFrame, cfg: MatchConfig) -> DataFrame:
     out = pairs
     if cfg.tight_rt > 0:
@@ -120,10 +129,10 @@ def anchors(a: DataFrame, b: DataFrame, cfg: MatchConfig) -> DataFrame:
     out = near(a, b)
     if cfg.tight_anchor_strategy == "mnn":
         out = out.join(near(b, a).select(F.col("id1").alias("id2"), F.col("id2").alias("id1")), ["id1", "id2"])
-    return _differences(out)
+    return differences(out)
 
 
-def _differences(pairs: DataFrame) -> DataFrame:
+def differences(pairs: DataFrame) -> DataFrame:
     d = lambda c: F.col(f"{c}2") - F.col(f"{c}1")
     return pairs.select("*", C.ppm_over_mean(F.col("mz1"), F.col("mz2")).alias("delta_ppm_raw"), d("rt").alias("delta_rt"), d("int").alias("intensity_log_diff"), d("cv").alias("cv_log_diff"), d("ro").alias("delta_roi"))
 
@@ -134,15 +143,23 @@ _TERMS = {"ppm": ("delta_ppm_raw", "mz1", "ppm"), "rt": ("delta_rt", "rt1", "rt"
 
 def score(cand: DataFrame, tight: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, dict[str, Any]]:
     """Candidates with drift, residuals and their log likelihood."""
-    n = tight.count()
-    if cfg.drift_fit_bootstrap and n >= drift.LEAST:
+    if cfg.drift_fit_bootstrap and (n := tight.count()) >= drift.LEAST:
         tight = cut(tight.sample(True, 1.0, cfg.drift_bootstrap_seed))
     models: dict[str, drift.Drift] = {}
+    wanted = {}
     for name, (diff, x, setting) in _TERMS.items():
         kind = "linear" if name == "int" else "none" if setting is None else getattr(cfg, f"{setting}_drift_model")
-        if name == "rt" and cfg.rt_drift_x != "rt":
-            x = "ro1"
-        models[name] = drift.fit(tight, kind, x, diff, getattr(cfg, f"{setting}_spline_df", 10) if setting else 10) if n >= drift.LEAST else drift.Drift()
+        wanted[name] = (kind, "ro1" if name == "rt" and cfg.rt_drift_x != "rt" else x, diff, getattr(cfg, f"{setting}_spline_df", 10) if setting else 10)
+    # all lines and the number of anchors are one job
+    fits = stats.lines(tight, {f"{k}_": w[1:3] for k, w in wanted.items() if w[0] == "linear"}).first()
+    n = n if cfg.drift_fit_bootstrap else fits["rows"]
+    for name, (kind, x, diff, df) in wanted.items():
+        if n < drift.LEAST:
+            models[name] = drift.Drift()
+        elif kind == "linear":
+            models[name] = drift.Drift("linear", float(fits[f"{name}_intercept"] or 0), float(fits[f"{name}_slope"] or 0)) if fits[f"{name}_n"] else drift.Drift()
+        else:
+            models[name] = drift.fit(tight, kind, x, diff, df)
 
     def residuals(df: DataFrame) -> DataFrame:
         for name, (diff, x, _) in _TERMS.items():
@@ -153,10 +170,11 @@ def score(cand: DataFrame, tight: DataFrame, cfg: MatchConfig) -> tuple[DataFram
     cand, tight = residuals(cand), residuals(tight)
     terms = [("ppm", cfg.w_ppm), ("rt", cfg.w_rt), ("roi", cfg.w_roi), ("int", cfg.w_int if cfg.use_intensity else 0.0), ("cv", cfg.w_cv if cfg.use_cv else 0.0)]
     base = tight if cfg.use_anchor_scales and n >= cfg.anchor_scale_min_count else cand
+    got = stats.mad_scales(base, {name: F.col(f"{name}_resid") for name, weight in terms if weight}, cfg.scale_floor).first()
     ll, scales = F.lit(0.0), {}
     for name, weight in terms:
         if weight:
-            scales[name] = float(stats.mad_scale(base, F.col(f"{name}_resid"), cfg.scale_floor).first()[0] or cfg.scale_floor)
+            scales[name] = float(got[name] or cfg.scale_floor)
             ll = ll + F.lit(float(weight)) * C.student_t(F.col(f"{name}_resid"), scales[name], cfg.t_df)
     out = cand.withColumn("mz1_eff", F.col("mz1")).withColumn("loglik", ll)
     return out, {"n_anchors": n, "scales": scales, "drift": {k: {"kind": m.kind, "intercept": m.intercept, "slope": m.slope} for k, m in models.items()}}
@@ -183,11 +201,10 @@ def match_features(a: DataFrame, b: DataFrame, cfg: MatchConfig = MatchConfig(),
     (sample_id, feature_id, v) over the same ids, for structure."""
     if cfg.use_structure and (expr_a is None or expr_b is None):
         raise ValueError("use_structure needs both expression tables")
+    if cfg.structure_graph == "stable" and (not cfg.structure_abs or cfg.structure_corr_estimator != "sample"):
+        raise ValueError("the stable graph is built of absolute sample correlations")
     a, b, use, note = prepare(a, b, cfg)
-    pairs = bandjoin.band_join(a, b, use.ppm, use.rt)
-    if use.use_intensity:
-        pairs = pairs.where(F.coalesce(F.abs(F.col("int2") - F.col("int1")) <= use.intensity_log_diff_max, F.lit(False)))
-    cand, fitted = score(_differences(pairs), anchors(a, b, use), use)
+    cand, fitted = score(differences(candidates(a, b, use)), anchors(a, b, use), use)
     note |= fitted
     cand = cut(cand.withColumn("loglik_local", F.col("loglik")))
     alpha, graph = cfg.structure_alpha, cfg.structure_graph
@@ -242,9 +259,12 @@ def _graphs(a: DataFrame, b: DataFrame, expr_a: DataFrame, expr_b: DataFrame, cf
         n = x.agg(F.countDistinct("sample_id")).first()[0]
         if n < cfg.structure_min_samples:
             return None
+        signed = not cfg.structure_abs
         if kind == "local_rt":
-            g = structure.local_rt(f.select("id", "rt"), x, cfg.structure_rt_window, cfg.structure_k, n, cfg.structure_max_candidates // 2)
+            g = structure.local_rt(f.select("id", "rt"), x, cfg.structure_rt_window, cfg.structure_k, n, cfg.structure_max_candidates // 2, signed)
+        elif kind == "stable":
+            g = structure.stable_knn(x, cfg.structure_k, cfg.structure_n_boot, cfg.structure_subsample_frac, cfg.structure_min_freq)
         else:
-            g = structure.corr_knn(x, cfg.structure_k, n)
+            g = structure.corr_knn(x, cfg.structure_k, n, cfg.structure_corr_estimator, signed)
         out.append(cut(g.select("i", "j", "w")))
     return out[0], out[1]

@@ -3,21 +3,41 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _gone_at_exit(spark: SparkSession, folder: str) -> None:
+    """Make a folder that goes when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (local tests)."""
+    """The folder all executors share. A temporary one only where none is configured and driver and executors are one process (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="specmatch-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
+        _gone_at_exit(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return folder
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for files that are not needed after the driver ends."""
+    folder = f"{shared_dir(spark).rstrip('/')}/specmatch-{spark.sparkContext.applicationId}"
+    _gone_at_exit(spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_dir(df.sparkSession)

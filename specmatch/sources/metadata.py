@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specmatch.functions import columns as C
@@ -83,6 +83,25 @@ def labelled_metabolites(docs: DataFrame, json_col: str = "json") -> DataFrame:
     return named.select(*[c for c in named.columns if c not in ("m", "metabolite_name")], F.lit("mwtab_ms_metabolite_data").alias("source"), "metabolite_name", C.metabolite_name(F.col("metabolite_name")).alias("name"), *[get(*v).alias(k) for k, v in IDENTIFIERS.items()])
 
 
+_RECORD = "map<string, struct<study_id: string, analysis_id: string, metabolite_id: string, metabolite_name: string, refmet_name: string, units: string, analysis_summary: string, DATA: map<string, string>>>"
+
+
+def study_data(docs: DataFrame, json_col: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(named metabolites, long matrix) of study-data documents, an object of records each. A record without a name is left out; of
+    records with one ``matrix_col`` in a document the last one's values stand; blank and unreadable values are unknown.
+    The first has (the documents' other columns, source, seq, study_id, analysis_id, metabolite_id, metabolite_name, refmet_name, name, units,
+    analysis_summary, matrix_col); the second (the other columns, sample_id, feature_id, v)."""
+    rest = [c for c in docs.columns if c != json_col]
+    each = docs.withColumn("_doc", F.xxhash64(json_col)).select(*rest, "_doc", F.posexplode(F.from_json(F.col(json_col), _RECORD)).alias("seq", "_key", "m"))
+    text = lambda c: F.coalesce(F.trim(F.col(f"m.{c}")), F.lit(""))
+    flat = each.select(*rest, "_doc", F.lit("workbench_study_data").alias("source"), "seq", text("study_id").alias("study_id"), C.canonical_id(text("analysis_id"), "AN").alias("analysis_id"), *(text(c).alias(c) for c in ("metabolite_id", "metabolite_name", "refmet_name", "units", "analysis_summary")), F.col("m.DATA").alias("_data"))
+    named = flat.withColumn("name", C.metabolite_name(_first(F.col("refmet_name"), F.col("metabolite_name")))).where("name != ''")
+    named = named.withColumn("matrix_col", F.when(F.col("metabolite_id") != "", F.col("metabolite_id")).otherwise(F.concat(F.lit("NAME:"), "name")))
+    last = named.withColumn("_n", F.row_number().over(Window.partitionBy(*rest, "_doc", "matrix_col").orderBy(F.desc("seq")))).where("_n = 1")
+    values = last.select(*rest, F.col("matrix_col").alias("feature_id"), F.explode("_data").alias("sample_id", "_v")).where("sample_id != ''")
+    return named.drop("_doc", "_data"), values.select(*rest, "sample_id", "feature_id", C.known(F.trim("_v")).alias("v"))
+
+
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Cached documents of a folder, one to a file: (path, analysis_id_hint, json). Without a network the cache is the source."""
     files = spark.read.text(f"{folder}/*.json", wholetext=True).withColumn("path", F.col("_metadata.file_path"))

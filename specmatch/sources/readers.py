@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
+import uuid
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -93,7 +95,7 @@ def _long(wide: DataFrame, id_col: str, features: list[str], na_as_zero: bool) -
     return out.withColumn("v", F.coalesce(value, F.lit(0.0)) if na_as_zero else value)
 
 
-def _with_intensity(features: DataFrame, expr: DataFrame) -> DataFrame:
+def with_intensity(features: DataFrame, expr: DataFrame) -> DataFrame:
     return features.join(expr.groupBy("feature_id").agg(F.avg("v").alias("Intensity")), "feature_id", "left")
 
 
@@ -108,7 +110,8 @@ def read_matrix(spark: SparkSession, path: str, na_as_zero: bool = True) -> tupl
         raise ValueError(f"{path} has no feature columns")
     special = {r["Samples"]: r for r in wide.where(F.col("Samples").isin("m/z", "rt")).collect()}  # two rows
     if len(special) == 2:
-        coords = [(n, float(special["m/z"][n]), float(special["rt"][n])) for n in names]
+        number = lambda x: float(x) if re.fullmatch(rf"\s*{_NUMBER}\s*", x or "") else None
+        coords = [(n, number(special["m/z"][n]), number(special["rt"][n])) for n in names]
         wide = wide.where(~F.col("Samples").isin("m/z", "rt"))
     else:
         parsed = []
@@ -124,7 +127,7 @@ def read_matrix(spark: SparkSession, path: str, na_as_zero: bool = True) -> tupl
         coords = _axes(parsed, path)
         names = [n for n, _, _ in coords]
     expr = _long(wide, "Samples", names, na_as_zero)
-    return _with_intensity(spark.createDataFrame(coords, "feature_id string, MZ double, RT double"), expr), expr
+    return with_intensity(spark.createDataFrame(coords, "feature_id string, MZ double, RT double"), expr), expr
 
 
 def _axes(parsed: list[tuple[str, float, float]], path: str) -> list[tuple[str, float, float]]:
@@ -159,7 +162,7 @@ def read_tables(spark: SparkSession, matrix: str, features: str, na_as_zero: boo
         raise ValueError(f"{features} needs the columns feature_id, mz and rt")
     f = table.select(F.col(f"`{named['feature_id']}`").cast("string").alias("feature_id"), known(F.col(f"`{named['mz']}`")).alias("MZ"), known(F.col(f"`{named['rt']}`")).alias("RT"))
     expr = _long(wide, wide.columns[0], wide.columns[1:], na_as_zero)
-    return _with_intensity(f, expr), expr.join(f.select("feature_id"), "feature_id", "left_semi")
+    return with_intensity(f, expr), expr.join(f.select("feature_id"), "feature_id", "left_semi")
 
 
 def load_study(spark: SparkSession, spec: StudySpec, na_as_zero: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -176,11 +179,50 @@ def load_study(spark: SparkSession, spec: StudySpec, na_as_zero: bool = True) ->
     return f.select(name, "feature_id", "MZ", "RT", "Intensity"), x.select(name, "sample_id", "feature_id", "v")
 
 
+def _joined(spark: SparkSession, parts: str, path: str, head: bytes) -> None:
+    """One file of a head and the parts of a folder, in order; the folder goes. Bytes stream through the driver a block at a time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder, place = jvm.org.apache.hadoop.fs.Path(parts), jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    fs.delete(place, True)
+    fs.setWriteChecksum(False)  # no companion file beside the user's
+    try:
+        out = fs.create(place, True)
+        try:
+            out.write(bytearray(head))
+            for part in sorted(s.getPath().getName() for s in fs.listStatus(folder)):
+                if part.startswith("part-"):
+                    source = fs.open(jvm.org.apache.hadoop.fs.Path(folder, part))
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+                    finally:
+                        source.close()
+        finally:
+            out.close()
+    finally:
+        fs.setWriteChecksum(True)
+    fs.delete(folder, True)
+
+
 def write_wide(expr: DataFrame, path: str, clusters: list[str]) -> None:
-    """A sample by cluster matrix as gzipped TSV; the columns are given, so the pivot needs no pass to find them."""
-    wide = expr.groupBy("sample_id").pivot("cluster_id", clusters).agg(F.first("v"))
-    wide.coalesce(1).write.mode("overwrite").csv(path, sep="\t", header=True, compression="gzip")
+    """A sample by cluster matrix as one gzipped TSV file, samples in order. A line is made of the values a sample has and the
+    tabs between their places, so there is neither a Spark column nor a cell in memory for a value that is not there."""
+    spark = expr.sparkSession
+    place = spark.createDataFrame(list(enumerate(clusters)), "pos int, cluster_id string")
+    one = expr.join(place, "cluster_id").groupBy("sample_id", "pos").agg(F.first("v", ignorenulls=True).cast("string").alias("v")).where("v IS NOT NULL")
+    cells = one.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("x"))
+    text = F.array_join(F.transform("x", lambda c, i: F.concat(F.repeat(F.lit("\t"), c["pos"] - F.coalesce(F.get(F.col("x"), i - 1)["pos"], F.lit(-1))), c["v"])), "")
+    rest = F.repeat(F.lit("\t"), F.lit(len(clusters) - 1) - F.coalesce(F.element_at("x", -1)["pos"], F.lit(-1)))
+    samples = expr.select("sample_id").distinct().join(cells, "sample_id", "left")
+    lines = samples.orderBy("sample_id").select(F.concat(F.col("sample_id").cast("string"), F.coalesce(text, F.lit("")), F.coalesce(rest, F.lit("\t" * len(clusters)))).alias("value"))
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.write.text(parts, compression="gzip")
+    _joined(spark, parts, path, gzip.compress(("\t".join(["sample_id", *clusters]) + "\n").encode(), mtime=0))
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.coalesce(1).write.mode("overwrite").csv(path, sep=sep, header=True)
+    """One plain file with a header: tasks write parts, which are joined in order."""
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    df.write.csv(parts, sep=sep)
+    quoted = ['"' + c.replace('"', '""') + '"' if sep in c or '"' in c else c for c in df.columns]
+    _joined(df.sparkSession, parts, path, (sep.join(quoted) + "\n").encode())

@@ -22,30 +22,43 @@ def same(result) -> int:
     return result.top1.where("id1 = id2").count()
 
 
-def test_neutral_and_ion_masses_meet(spark):
-    mz, rt = np.linspace(100, 900, 80), np.linspace(1, 20, 80)
-    r = match_features(table(spark, MZ=mz, RT=rt), table(spark, MZ=mz + 1.007276466812, RT=rt), MatchConfig())
-    assert r.drift_params["mz_shift_applied"] and same(r) == 80
+def random_study(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return np.sort(rng.uniform(120, 1100, n)), rng.gamma(4, 2, n)
 
 
-def test_seconds_become_minutes(spark):
-    mz, rt = np.linspace(100, 500, 40), np.linspace(1, 20, 40)
-    r = match_features(table(spark, MZ=mz, RT=rt), table(spark, MZ=mz, RT=rt * 60), MatchConfig(ppm=5.0, allow_unmatched=False))
-    assert r.drift_params["rt_unit_scale_study_b"] == pytest.approx(1 / 60)
+def test_a_study_of_masses_meets_one_of_negative_ions(spark):
+    mz, rt = random_study(130, 1)
+    cfg = MatchConfig(polarity="negative", mz_semantics_study_a="neutral_mass", mz_semantics_study_b="ion_mz")
+    r = match_features(table(spark, MZ=mz, RT=rt), table(spark, MZ=mz - 1.007276466812, RT=rt + 0.02), cfg)
+    p = r.drift_params
+    assert p["mz_shift_applied"] and p["mz_shift_da_study_a"] == pytest.approx(-1.007276466812) and not p["mz_shift_da_study_b"]
+    assert same(r) >= 125
+
+
+def test_a_study_in_seconds_is_told(spark):
+    mz, rt = random_study(90, 2)
+    rt = 3 + 2 * rt
+    r = match_features(table(spark, MZ=mz, RT=rt * 60), table(spark, MZ=mz * (1 + 1e-6), RT=rt), MatchConfig())
+    p = r.drift_params
+    assert (p["rt_unit_scale_study_a"], p["rt_unit_scale_study_b"]) == (pytest.approx(1 / 60), 1.0) and same(r) >= 85
 
 
-def test_linear_retention_transfers(spark):
-    mz, rt = np.linspace(100, 900, 60), np.linspace(0.5, 25, 60)
-    r = match_features(table(spark, MZ=mz, RT=rt), table(spark, MZ=mz, RT=2 * rt + 1 + np.linspace(-0.01, 0.01, 60)), MatchConfig(ppm=5.0, allow_unmatched=False, rt_transfer_anchor_ppm=2.0))
+def test_a_line_of_retention_is_found_among_wrong_anchors(spark):
+    mz, rt = random_study(150, 3)
+    other = (rt - 1.4) / 0.8
+    other[::6] = np.random.default_rng(4).permutation(other[::6])
+    r = match_features(table(spark, MZ=mz, RT=rt), table(spark, MZ=mz, RT=other), MatchConfig(ppm=8.0))
     p = r.drift_params
-    assert p["rt_policy"] == "linear" and abs(p["rt_scale"] - 0.5) < 0.01 and abs(p["rt_offset"] + 0.5) < 0.1
+    assert p["rt_policy"] == "linear" and p["rt_scale"] == pytest.approx(0.8, abs=0.02) and p["rt_offset"] == pytest.approx(1.4, abs=0.15)
 
 
-def test_like_variation_wins(spark):
-    a = table(spark, MZ=[100.0], RT=[1.0], Intensity=[1e6], CV=[0.1])
-    b = table(spark, MZ=[100.0, 100.0], RT=[1.0, 1.0], Intensity=[1e6, 1e6], CV=[0.5, 0.1])
-    r = match_features(a, b, MatchConfig(use_cv=True, w_cv=1.0, ot_mode="semi_relaxed", allow_unmatched=False))
-    assert r.top1.first()["id2"] == 1
+def test_variation_decides_between_equal_masses(spark):
+    spread = [0.31, 0.05, 0.92]
+    a = table(spark, MZ=[412.2, 655.9], RT=[3.3, 8.1], CV=[0.05, 0.92])
+    b = table(spark, MZ=[412.2] * 3 + [655.9] * 3, RT=[3.3] * 3 + [8.1] * 3, CV=spread * 2)
+    r = match_features(a, b, MatchConfig(use_cv=True, w_cv=2.0, ot_mode="semi_relaxed", allow_unmatched=False, top1_policy="ot"))
+    assert {x.id1: x.id2 for x in r.top1.collect()} == {0: 1, 1: 5}
 
 
 def test_empty_and_unmatched(spark):

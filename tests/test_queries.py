@@ -108,11 +108,11 @@ def _correlations(spark):
 def test_graphs_cover_every_feature(spark):
     ids, r = _correlations(spark)
     assert ids.max() > 120
-    got = q.QUERIES["corr_knn_whole"](spark, SF).toPandas().sort_values(["i", "n"])
+    got = q.QUERIES["corr_knn"](spark, SF).toPandas().sort_values(["i", "n"])
     assert set(got.i) == set(ids)
     for k, i in enumerate(ids):
         np.testing.assert_allclose(got[got.i == i].r / 1e6, np.sort(r[k])[::-1][:5], atol=1.1e-6)
-    bonus = q.QUERIES["structure_bonus_whole"](spark, SF).toPandas()
+    bonus = q.QUERIES["structure_bonus"](spark, SF).toPandas()
     d = np.abs(ids[:, None] - ids[None])
     g, p = np.where(r > 0.05, r, 0), np.where(d <= 2, 1 / (1 + d), 0)
     at = {i: k for k, i in enumerate(ids)}
@@ -141,9 +141,9 @@ def test_components_cover_every_edge(spark):
                 queue += near[n] - c
         parts.append((min(c), c))
         left -= c
-    got = {r.node: r.component for r in q.QUERIES["connected_components_whole"](spark, SF).collect()}
+    got = {r.node: r.component for r in q.QUERIES["connected_components"](spark, SF).collect()}
     assert got == {n: least for least, c in parts for n in c}
-    picked = {(r.component, r.study, r.node) for r in q.QUERIES["component_pick_whole"](spark, SF).collect()}
+    picked = {(r.component, r.study, r.node) for r in q.QUERIES["component_pick"](spark, SF).collect()}
     assert picked == {(least, k, min((n for n in c if n % 2 == k), key=lambda n: (-len(near[n]), n))) for least, c in parts for k in (0, 1)}
 
 
@@ -154,7 +154,7 @@ def test_cluster_table_covers_every_feature(spark):
     for r in expression(spark, SF).collect():
         at = (r.sample_id, r.feature_id % 100)
         want[at] = max(want.get(at, 0), math.floor(float(r.v) * 1e6 + 0.5))
-    assert {(r.sample_id, r.cluster_id): r.v for r in q.QUERIES["cluster_expr_long_whole"](spark, SF).collect()} == want
+    assert {(r.sample_id, r.cluster_id): r.v for r in q.QUERIES["cluster_expr_long"](spark, SF).collect()} == want
 
 
 def test_lowess_uses_every_anchor(spark):
