@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 
-from specmatch.session import shared_dir
+from specmatch.session import temporary
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -23,11 +21,11 @@ def plain(docs: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, di
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, and the shuffle files behind it are removed."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/step-{uuid.uuid4().hex}"
+    path = temporary(spark, "step")
     before = spark.conf.get(_CLEAN, None)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="uncompressed")  # mostly hashes; codecs would keep buffers outside the heap
     finally:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,6 @@ empty result; columns but doc_id and text are not read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from specmatch.llm import shared_files
 from specmatch.llm.textvec import LOWER, U64, mix, pieces, prefix_hash, span_hash, utf8, words
-from specmatch.session import partitions, shared_dir
+from specmatch.session import partitions, temporary
 
 BEGIN, END = U64(0x0123456789ABCDEF), U64(0xFEDCBA9876543210)
 _FLUSH = 1_500_000
@@ -128,7 +127,7 @@ def train(docs: DataFrame) -> Model:
     """A model of ``docs`` (doc_id, text), counted in one Spark job."""
     spark = docs.sparkSession
     shards = partitions(spark)
-    folder = f"{shared_dir(spark).rstrip('/')}/kn-{uuid.uuid4().hex}"
+    folder = temporary(spark, "kn")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

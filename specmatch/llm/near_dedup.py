@@ -9,7 +9,7 @@
 4. Retained pairs make loose groups; within each, links are confirmed on the full sets until no unvisited
    member is left, and confirmed links give the components.
 
-A pair at the threshold is missed with a chance below 1e-7, whatever the threshold, and nothing unconfirmed is linked.
+A pair at the threshold is missed with a chance of 1e-7 at most, whatever the threshold, and nothing unconfirmed is linked.
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; with fewer words than a shingle the
 whole sequence is the only shingle; repeated rows and equal texts share a component; a null doc_id never names a component;
@@ -269,6 +269,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+#: Sets of shingles as text, all pairs that share one, and labels that spread along the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, lab) AS (SELECT a, a FROM e UNION SELECT e.b, r.lab FROM r JOIN e ON e.a = r.node WHERE r.lab < e.b),
+c AS (SELECT node, min(lab) AS lab FROM r GROUP BY node),
+o AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.lab, d.doc_id)) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group at similarity 0.8: the one that names it. Rows repeated under one doc_id with one text stay once; rows
     with a null doc_id stay, since no other document can stand for them."""

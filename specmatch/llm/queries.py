@@ -17,5 +17,5 @@ QUERIES = {
     "op10_quality_rules": quality_rules.query,
     "op1_near_pairs": fingerprint.near_query,
 }
-#: The others fit models, hash, sort suffixes, run tokenizers or write files; tests hold them to brute force.
-ORACLES = {"op5_source_mixing": mixing.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
+#: The others fit models, walk, run tokenizers or write files; tests hold them to brute force.
+ORACLES = {"op5_source_mixing": mixing.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE, "op8_minhash": near_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}

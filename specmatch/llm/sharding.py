@@ -9,8 +9,8 @@ that version exists, so of two writers one wins and the other starts again from
 lost attempt are in no manifest and are never read.
 
 Edge cases: an empty table commits a version without shards and reads back as an empty table of its schema; null
-columns, long texts, repeated rows and any column names are carried as they are; a single shard or shards of target size
-are left alone.
+columns, long texts, repeated rows and any column names are carried as they are (``read`` adds ``_shard`` where there is none); a single
+shard or shards of target size are left alone.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from specmatch.session import shared_dir
+from specmatch.session import temporary
 
 TARGET = 64 << 20
 FANOUT = 4
@@ -174,12 +174,14 @@ class ShardStore:
         return self.spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(*[f"{self.path}/{s.name}" for s in shards])
 
     def read(self, number: int | None = None) -> DataFrame:
-        """The rows of a version (the latest), each with the shard that holds it."""
+        """The rows of a version (the latest), each with the shard that holds it in ``_shard``, unless the rows have such a column of their own."""
         at = self.latest() if number is None else self.version(number)
         if not at.schema:
             raise ValueError("nothing was committed yet")
         schema = T.StructType.fromJson(json.loads(at.schema))
         rows = self._read(list(at.shards), at.schema) if at.shards else self.spark.createDataFrame([], schema)
+        if "_shard" in rows.columns:
+            return rows
         return rows.withColumn("_shard", F.col("_metadata.file_path") if at.shards else F.lit(None).cast("string"))
 
     def vacuum(self, keep: int = 1) -> int:
@@ -197,10 +199,10 @@ class ShardStore:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard ``documents``: append, compact, drop the superseded files, and say of each document where it is."""
-    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store = ShardStore(spark, temporary(spark, "shards"))
     store.append(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     now = store.compact()
     store.vacuum()
     sizes = spark.createDataFrame([(s.name.rsplit("/", 1)[1], i, s.bytes, s.rows) for i, s in enumerate(sorted(now.shards, key=lambda s: (-s.rows, s.bytes, s.name)))], "file string, shard int, shard_bytes long, shard_rows long")
     rows = store._read(list(now.shards), now.schema).select("doc_id", F.col("_metadata.file_name").alias("file"))
-    return rows.join(F.broadcast(sizes), "file").select("doc_id", "shard", "shard_bytes", "shard_rows", F.lit(now.number).alias("version"))
+    return rows.join(sizes, "file").select("doc_id", "shard", "shard_bytes", "shard_rows", F.lit(now.number).alias("version"))

@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 from specmatch.llm.frames import drop, plain, stored
 from specmatch.llm.induced_sort import suffix_order
 from specmatch.llm.textvec import U64, pieces, prefix_hash, small_batches, span_hash, utf8
+from specmatch.session import partitions
 
 #: Bytes of the contract's window and of a passage, and of their anchors.
 WINDOW, GRAM = 400, 64
@@ -278,7 +279,7 @@ def repeated_intervals(texts: DataFrame, window: int = WINDOW, gram: int = GRAM)
     open_ = counted.join(keys, "key").select("uid", F.struct("key", "c", lo.alias("lo"), n.alias("n"), off.alias("off")).alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
     contexts = stored(texts.select("uid", "text").join(open_, "uid").select("uid", "text", "spans").mapInArrow(_contexts(window), "key long, uid long, c long, lo long, n long, off long, ctx binary"))
     drop(counted)
-    sorted_ = stored(contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sort(window, gram), "uid long, lo long, hi long"))
+    sorted_ = stored(contexts.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_sort(window, gram), "uid long, lo long, hi long"))
     drop(contexts)
     return whole.unionByName(sorted_)
 
@@ -391,6 +392,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _windows(n: int, k: int) -> str:
+    """SQL of the maximal runs r{k} (lo, hi from 1) that windows of ``n`` bytes which occur twice cover: every window, one by one."""
+    return f"""p{k} AS (SELECT rid, unnest(range(1, size - {n - 2})) AS p FROM d WHERE size >= {n}),
+h{k} AS (SELECT d.rid, p, md5(x[p:p + {n - 1}]) AS h FROM p{k} JOIN d ON d.rid = p{k}.rid),
+t{k} AS (SELECT rid, p FROM h{k} WHERE h IN (SELECT h FROM h{k} GROUP BY h HAVING count(*) > 1)),
+s{k} AS (SELECT rid, p, CASE WHEN p > lag(p) OVER o + {n} OR lag(p) OVER o IS NULL THEN 1 ELSE 0 END AS new FROM t{k} WINDOW o AS (PARTITION BY rid ORDER BY p)),
+i{k} AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM s{k}),
+r{k} AS (SELECT rid, run, min(p) AS lo, max(p) + {n - 1} AS hi FROM i{k} GROUP BY rid, run)"""
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+{_windows(WINDOW, 1)},
+{_windows(PASSAGE, 2)},
+k1 AS (SELECT d.rid, run, x, lo, hi, size, lead(lo) OVER (PARTITION BY d.rid ORDER BY run) AS after FROM r1 JOIN d ON d.rid = r1.rid),
+f1 AS (SELECT rid, count(*) AS n, sum(hi - lo + 1) AS gone, string_agg(CASE WHEN run = 1 THEN hex(x[1:lo - 1]) ELSE '' END || hex(x[hi + 1:coalesce(after - 1, size)]), '' ORDER BY run) AS kept FROM k1 GROUP BY rid),
+f2 AS (SELECT rid, count(*) AS n, sum(hi - lo + 1) AS gone FROM r2 GROUP BY rid)
+SELECT doc_id, size AS n_bytes, CAST(coalesce(f1.gone, 0) AS BIGINT) AS n_removed, coalesce(f1.n, 0) AS n_spans, CASE WHEN f1.rid IS NULL THEN sha256(x) ELSE sha256(unhex(kept)) END AS kept_sha256,
+       CAST(coalesce(f2.gone, 0) AS BIGINT) AS n_passage_bytes, coalesce(f2.n, 0) AS n_passages
+FROM d LEFT JOIN f1 ON f1.rid = d.rid LEFT JOIN f2 ON f2.rid = d.rid
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without its repeated passages, of ``PASSAGE`` bytes or more; n_chars, where there is one, follows the text."""
     names = docs.columns

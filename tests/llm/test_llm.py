@@ -48,18 +48,59 @@ def tokens(text: str) -> list[str]:
 # --- 1 ---------------------------------------------------------------------------------------------------------------
 
 
-def test_edited_fingerprints_match_one_by_one(spark, texts):
+def brute_walk(text: str) -> str:
+    """One text's walk, a character and a step at a time."""
+    full = (1 << 64) - 1
+    records, prints, spot, step = fingerprint._records(), [0] * fingerprint.SLOTS, 0, 0
+    while spot < len(text):
+        c = ord(text[spot])
+        for slot in records.get(step + 1, ()):
+            x = (c * 0x9E3779B97F4A7C15 + (step + 1) * 1_000_003 + slot * 7_919) & full
+            for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ x >> shift) * odd & full
+            prints[slot] = (x ^ x >> 31) >> 60
+        kind = (c * 0x9E3779B1 & 0xFFFFFFFF) >> 26
+        spot += int(fingerprint._bits(step // fingerprint._BLOCK)[step % fingerprint._BLOCK, kind])
+        step += 1
+    return "".join(f"{x:x}" for x in prints)
+
+
+def brute_likeness(a: str, b: str) -> float:
+    return min(max((sum(x == y for x, y in zip(a, b)) / len(a) - 1 / 16) / (15 / 16), 0), 1)
+
+
+def test_edited_fingerprints_against_brute_force(spark, texts):
     got = {r.doc_id: r for r in fingerprint.query(spark, SF).collect()}
     ids = sorted(texts)
     assert sorted(got) == ids
-    one = lambda t: fingerprint.embed([fingerprint.points(t)])
     for i, d in enumerate(ids):
-        other = texts[ids[(i + 1) % len(ids)]]
-        edited = fingerprint.edited(texts[d], other)
+        own, other = texts[d], texts[ids[(i + 1) % len(ids)]]
+        edited = own[: len(own) - len(own) // 4] + other[: len(own) // 4]
         r = got[d]
-        assert (r.n_chars, r.edited_sha256) == (len(texts[d]), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == fingerprint.to_hex(one(texts[d]))[0] and r.edited_fingerprint == fingerprint.to_hex(one(edited))[0]
-        assert r.near_next == pytest.approx(fingerprint.likeness(one(texts[d]), one(other))[0])
+        assert (r.n_chars, r.edited_sha256) == (len(own), hashlib.sha256(edited.encode()).hexdigest())
+        if len(own) > 6000:
+            continue  # a walk in plain Python takes a second a thousand characters
+        assert (r.fingerprint, r.edited_fingerprint) == (brute_walk(own), brute_walk(edited))
+        assert r.near_edited == pytest.approx(brute_likeness(r.fingerprint, r.edited_fingerprint))
+        assert r.near_next == pytest.approx(brute_likeness(r.fingerprint, got[ids[(i + 1) % len(ids)]].fingerprint))
+
+
+def test_near_pairs_recall(spark, docs):
+    """All pairs at likeness 0.8 lie in one class of the links."""
+    prints = [(r.doc_id, r.fingerprint) for r in fingerprint.fingerprints(docs).where("n_chars > 0").collect()]
+    top = {d: d for d, _ in prints}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in fingerprint.near_pairs(docs).collect():
+        assert r.near_id < r.doc_id
+        x, y = find(r.doc_id), find(r.near_id)
+        top[max(x, y)] = min(x, y)
+    pairs = [(a, b) for k, (a, p) in enumerate(prints) for b, q in prints[k + 1 :] if brute_likeness(p, q) >= 0.8]
+    assert len(pairs) > 10 and np.mean([find(a) == find(b) for a, b in pairs]) >= 0.98
 
 
 def test_fingerprints_tell_edits_from_other_texts():
@@ -134,6 +175,15 @@ def test_wrapped_and_joined_licenses(spark):
     assert got == {1: ("MPL-2.0", 1), 2: ("ISC", 1), 3: ("Unlicense", 1), 4: ("Apache-2.0 MIT", 2), 5: ("CC0-1.0 GPL-3.0 ISC MIT MPL-2.0", 5)}
 
 
+def test_license_edges(spark, edges, empty):
+    long = "plain words go on and on " * 40_000 + "\nReleased under the MIT License.\n" + "and on " * 1000
+    df = edges.unionByName(spark.createDataFrame([(99, long, "en", "s", 1), (98, "Licensed under CC BY 4.0. " * 3, "en", "s", 1)], SCHEMA)).withColumn("licenses", F.lit("own")).withColumn("a.b", F.lit(1))
+    rows = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert (rows[99].licenses, rows[99].n_confirmed) == ("MIT", 1) and (rows[98].licenses, rows[98].n_confirmed) == ("CC-BY-4.0", 3)
+    assert all((rows[i].n_candidates, rows[i].licenses, rows[i].findings) == (0, "", "[]") for i in (0, 1, 2, 8))
+    assert license_scan.scan(empty).count() == 0
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -194,6 +244,9 @@ def test_sharding_edges(spark, edges, empty, tmp_path):
     assert store.compact().shards == () and store.read().count() == 0
     store.append(edges)
     assert store.read().count() == edges.count()
+    own = sharding.ShardStore(spark, f"file://{tmp_path}/o")
+    own.append(edges.withColumn("_shard", F.lit("mine")).withColumn("file", F.lit("x")))
+    assert {r._shard for r in own.read().collect()} == {"mine"}
     assert sharding.query(spark, SF).count() == 200
 
 
@@ -252,6 +305,40 @@ def test_mixing_budgets_by_hand(spark, docs):
     assert all(used[k] >= math.floor(want[k] / leaf[k]) * leaf[k] for k in want if leaf[k])
 
 
+def brute_copies(rows: list[tuple], targets: mixing.Targets) -> list[int]:
+    """Copies of each row (doc_id, domain, lang, source, tokens) of a mixture."""
+    leaf = Counter()
+    for _, d, g, s, n in rows:
+        leaf[d, g, s] += n
+    cap = lambda *key: targets.epochs * sum(v for k, v in leaf.items() if k[: len(key)] == key)
+    budget, out = {}, [0] * len(rows)
+    top = math.floor(sum(leaf.values()) * targets.share)
+    for d, bd in _fill(top, {d: (targets.domains.get(d, 0.1), cap(d)) for d in {k[0] for k in leaf}}).items():
+        for g, bg in _fill(bd, {g: (targets.languages.get(g, 0.1), cap(d, g)) for g in {k[1] for k in leaf if k[0] == d}}).items():
+            for s, bs in _fill(bg, {s: (targets.sources.get(s, 0.1), cap(d, g, s)) for s in {k[2] for k in leaf if k[:2] == (d, g)}}).items():
+                budget[d, g, s] = math.floor(bs + 1e-6)
+    for key, n in leaf.items():
+        whole, rest = divmod(budget[key], n) if n else (1, 0)
+        order = sorted((hashlib.md5(f"{targets.seed}:{whole}:{r[0]}".encode()).hexdigest(), r[0], r[4], i) for i, r in enumerate(rows) if r[1:4] == key)
+        run = 0
+        for _, _, tokens_, i in order:
+            run += tokens_
+            out[i] = whole + (rest > 0 and tokens_ > 0 and run <= rest)
+    return out
+
+
+def domain(source: str) -> str:
+    return ("web", "books", "news", "reference")[int("0" + re.search(r"(\d*)$", source)[1]) % 4]
+
+
+@pytest.mark.parametrize("share", [0.6, 1.0, 2.2])
+def test_mixing_against_brute_force(docs, share):
+    t = mixing.Targets(share=share)
+    got = {r.doc_id: r.copies for r in mixing.mix(docs, t).collect()}
+    rows = [(r.doc_id, domain(r.source or ""), r.lang or "", r.source or "", len(tokens(r.text or ""))) for r in docs.collect()]
+    assert got == {r[0]: c for r, c in zip(rows, brute_copies(rows, t))}
+
+
 def test_mixing_edges(edges, empty):
     rows = mixing.mix(edges).collect()
     assert len(rows) == edges.count() and all(r.copies >= 0 for r in rows)
@@ -327,6 +414,10 @@ def test_suffix_dedup_query_against_brute_force(spark, texts):
     assert both_windows(suffix_dedup.query(spark, SF)) == (brute_dedup(raw), [x[1:3] for x in brute_dedup(raw, suffix_dedup.PASSAGE)])
 
 
+def test_suffix_dedup_equals_sql(spark):
+    assert not differences(suffix_dedup.query(spark, SF), connect(SF), suffix_dedup.ORACLE)
+
+
 def test_suffix_dedup_two_windows(spark, edges, empty, monkeypatch):
     rng = np.random.default_rng(9)
     word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
@@ -520,6 +611,10 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert got == brute_near(more)
 
 
+def test_near_duplicates_equal_sql(spark):
+    assert not differences(near_dedup.query(spark, SF), connect(SF), near_dedup.ORACLE)
+
+
 def test_near_duplicate_edges(edges, empty):
     rows = near_dedup.near_duplicates(edges).collect()
     assert len(rows) == edges.count()
@@ -550,6 +645,12 @@ def test_compiled_rules_equal_numpy(spark):
     m = quality_classifier.fit(x, y)
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{n} double" for n in quality_classifier.STATISTICS))
     got = np.array([r[0] for r in df.select(m.score()).collect()])
+    column = dict(zip(quality_classifier.STATISTICS, x.T))
+    total = m.intercept + sum(np.clip(column[n], low, high) * w for n, low, high, w in m.linear)
+    for conditions, w in m.rules:
+        total = total + w * np.all([column[n] <= at if side == "<=" else column[n] > at for n, side, at in conditions], 0)
+    assert len(m.rules) > 1
+    np.testing.assert_allclose(got, 1 / (1 + np.exp(-total)), rtol=1e-12)
     assert ((got > 0.5) == (y > 0.5)).mean() > 0.95
 
 
@@ -606,17 +707,33 @@ def test_near_duplicates_at_a_low_threshold(spark):
 # --- pipeline --------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark):
+def test_pipeline_against_brute_force(spark):
+    import sentencepiece
+
     import corpus_pipeline
 
-    before = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    good = {r.doc_id for r in quality_classifier.query(spark, SF).where("predicted = 1").collect()}
+    near = brute_near({d: before[d].text for d in good}, num=80)
+    left = sorted(d for d in good if near[d][1] == d)
+    raw = [before[d].text.encode() for d in left]
+    seen = Counter(b[i : i + suffix_dedup.PASSAGE] for b in raw for i in range(len(b) - suffix_dedup.PASSAGE + 1))
+    kept = {}
+    for d, b in zip(left, raw):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - suffix_dedup.PASSAGE + 1):
+            if seen[b[i : i + suffix_dedup.PASSAGE]] > 1:
+                gone[i : i + suffix_dedup.PASSAGE] = True
+        kept[d] = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore")
+    rows = [(d, domain(before[d].source or ""), before[d].lang or "", before[d].source or "", len(tokens(kept[d]))) for d in left]
+    copies = brute_copies(rows, mixing.Targets())
+    judge = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_codec.model_bytes())
+    want = Counter({(d, before[d].lang, before[d].source, len(kept[d]), kept[d], tuple(judge.encode(kept[d]))): c for d, c in zip(left, copies) if c})
     out = corpus_pipeline.run(spark, SF)
-    assert {*before.columns, "ids", "n_tokens"} == set(out.columns)
-    rows = out.collect()
-    assert {r.doc_id for r in rows} <= {r.doc_id for r in before.collect()} and len(rows) > 50
-    near = brute_near({r.doc_id: r.text for r in before.collect()})
-    tops = Counter(near[d][1] for d in {r.doc_id for r in rows})
-    assert max(tops.values()) == 1
+    assert {*before[left[0]].__fields__, "ids", "n_tokens"} == set(out.columns)
+    got = Counter((r.doc_id, r.lang, r.source, r.n_chars, r.text, tuple(r.ids)) for r in out.collect())
+    assert len(left) > 50 and sum(len(kept[d]) < before[d].n_chars for d in left) > 3
+    assert got == want
 
 
 CLASHES = ["_row", "_q_x", "_uid", "_runs", "_copies", "_copy", "_same", "score", "predicted", "n_words", "a.b", "component", "set_key", "uid", "runs", "row", "same", "c0", "key", "copies", "tokens", "_n_bytes", "ids"]
