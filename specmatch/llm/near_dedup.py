@@ -7,7 +7,9 @@
    rest is skipped), collisions of all coordinates are counted from compact signatures, and pairs at or above the match
    threshold are retained. A list returns a spanning forest of its retained pairs, never all of them.
 4. Retained pairs make loose groups; within each, links are confirmed on the full sets until no unvisited
-   member is left, and confirmed links give the components.
+   member is left, and confirmed links give the components. A group of more than ``BLOCK`` members is dealt to blocks, each with the
+   group's few pivots beside it; what has not joined the first pivot's component then meets every block, a block at a time. So any two
+   members are compared, or already in one component, and no task holds a group.
 
 A pair at the threshold is missed with a chance of 1e-7 at most, whatever the threshold, and nothing unconfirmed is linked.
 
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specmatch.llm.frames import plain
+from specmatch.llm.frames import plain, stored
 from specmatch.llm.textvec import LOWER, U64, mix, pieces, prefix_hash, small_batches, span_hash, utf8, words
 from specmatch.operators.components import connected_components
 from specmatch.session import cut
 
+#: Members of a loose group that are confirmed in one task, and pivots that join every block of a larger group.
+BLOCK, PIVOTS = 256, 8
 _RNG = np.random.Generator(np.random.PCG64(88))
 _ODD = [U64(int(x) | 1) for x in _RNG.integers(1, 1 << 63, 64)]
 
@@ -226,7 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     posts = classes.select(F.col("set_key").alias("node"), "n", "sig").mapInArrow(post, "key long, node long, n long, sig binary")
     loose = connected_components(posts.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "a long, b long"))
-    wanted = classes.select("set_key", "rep").join(loose, F.col("set_key") == F.col("node")).select(F.col("rep").alias("doc_id"), "set_key", "component")
+    wanted = cut(classes.select("set_key", "rep").join(loose, F.col("set_key") == F.col("node")).select(F.col("rep").alias("doc_id"), "set_key", "component"))
+    pivots = [F.min_by("set_key", "doc_id"), *(F.min_by("set_key", F.xxhash64(F.lit(i), "set_key")) for i in range(PIVOTS - 1))]
+    groups = wanted.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.array_distinct(F.array(*pivots)).alias("pivots"))
+    groups = cut(groups.select("component", "blocks", "pivots", F.element_at("pivots", 1).alias("pivot")))
+    wanted = wanted.join(groups, "component")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")
+    wanted = wanted.select("doc_id", "set_key", "component", F.when(F.array_contains("pivots", F.col("set_key")), every(F.col("blocks"))).otherwise(F.array(own)).alias("to"), own.alias("own"), "blocks", "pivot")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -237,9 +248,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     sets.append(s.astype("<u8").tobytes())
             if rows:
                 some = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([some.column(2), some.column(3), pa.array(sets, pa.binary())], names=["set_key", "component", "hashes"])
+                yield pa.RecordBatch.from_arrays([*some.columns[2:], pa.array(sets, pa.binary())], names=["set_key", "component", "to", "own", "hashes"])
 
-    sets = texts.join(wanted, "doc_id").select("doc_id", "text", "set_key", "component").mapInArrow(fetch, "set_key long, component long, hashes binary")
+    sets = texts.join(wanted, "doc_id").select("doc_id", "text", "set_key", "component", "to", "own").mapInArrow(fetch, "set_key long, component long, to array<int>, own int, hashes binary")
+    large = groups.where("blocks > 1")
+    spread = bool(large.limit(1).count())
+    if spread:
+        sets = stored(sets)
 
     def settle(table: pa.Table) -> pa.Table:
         keys, members = [], []
@@ -251,8 +266,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 members.append(np.frombuffer(h, "<u8"))
         return pa.Table.from_batches([_pairs(confirm(keys, members, num, den))])
 
-    links = sets.groupBy("component").applyInArrow(settle, "a long, b long")
+    links = sets.select("set_key", "component", "hashes", F.explode("to").alias("block")).groupBy("component", "block").applyInArrow(settle, "a long, b long")
     final = connected_components(links)
+    if spread:
+        label = final.select(F.col("node").alias("set_key"), F.col("component").alias("label"))
+        members = wanted.where("blocks > 1").select("set_key", "component", "blocks", "pivot").join(label, "set_key", "left").withColumn("label", F.coalesce("label", "set_key"))
+        main = members.where("set_key = pivot").select("component", F.col("label").alias("main"))
+        apart = members.join(main, "component").where("label != main").select("set_key", "component", "blocks").distinct()
+        parts = apart.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("parts"))
+        apart = cut(apart.join(parts, "component").select("set_key", "component", F.pmod(F.xxhash64(F.lit("apart"), "set_key"), F.col("parts")).cast("int").alias("part"), "blocks"))
+        few = apart.select("component", F.col("part"), F.explode(every(F.col("blocks"))).alias("block"), "set_key").join(sets.select("set_key", "hashes"), "set_key").select("set_key", "component", "hashes", "part", "block")
+        some = apart.select("component", "part").distinct()
+        rest = sets.select("set_key", "component", "hashes", F.col("own").alias("block")).join(some, "component").select("set_key", "component", "hashes", "part", "block")
+        more = few.unionByName(rest).groupBy("component", "part", "block").applyInArrow(settle, "a long, b long")
+        final = connected_components(more.unionByName(final.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     named = classes.select("set_key", "rep").join(final, F.col("set_key") == F.col("node"), "left").select("set_key", "rep", F.coalesce("component", "set_key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     member = named.join(least, "root").select("set_key", "component_id")

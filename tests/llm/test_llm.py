@@ -593,7 +593,10 @@ def brute_near(texts: dict, num=85, den=100) -> dict:
     return {d: (len(sets[d]), find(d)) for d in texts}
 
 
-def test_near_duplicates_against_brute_force(spark, texts):
+@pytest.mark.parametrize("block", [256, 5])
+def test_near_duplicates_against_brute_force(spark, texts, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     rng = np.random.default_rng(8)
     more = dict(texts)
     words = [f"w{k}" for k in range(4000)]
