@@ -5,7 +5,9 @@
    agree in ``matches`` of ``coords`` coordinates share at least one of those lists (the prefix bound).
 3. In a list, entries lie in order of set size; only entries whose sizes allow the similarity are compared (the
    rest is skipped), collisions of all coordinates are counted from compact signatures, and pairs at or above the match
-   threshold are retained. A list returns a spanning forest of its retained pairs, never all of them.
+   threshold are retained. A list returns a spanning forest of its retained pairs, never all of them. A list of more than ``LIST`` entries (the
+   value of a very frequent shingle) is dealt again: a pair that meets there agrees in ``matches - 1`` of the other coordinates, so by
+   the same bound it shares one of as many lists under a second coordinate and value.
 4. Retained pairs make loose groups; within each, links are confirmed on the full sets until no unvisited
    member is left, and confirmed links give the components. A group of more than ``BLOCK`` members is dealt to blocks, each with the
    group's few pivots beside it; what has not joined the first pivot's component then meets every block, a block at a time. So any two
@@ -35,6 +37,8 @@ from specmatch.session import cut
 
 #: Members of a loose group that are confirmed in one task, and pivots that join every block of a larger group.
 BLOCK, PIVOTS = 256, 8
+#: Entries of a posting list that is merged as it is.
+LIST = 2048
 _RNG = np.random.Generator(np.random.PCG64(88))
 _ODD = [U64(int(x) | 1) for x in _RNG.integers(1, 1 << 63, 64)]
 
@@ -216,7 +220,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 sig = _matrix(batch.column(2)).view("<u4")
                 key = mix(sig[:, :prefix].astype(U64) * U64(0x9E3779B97F4A7C15) + salt[None, :prefix]).astype(np.int64)
                 small = np.repeat((sig & 255).astype(np.uint8), prefix, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), prefix)), pa.array(np.repeat(np.asarray(batch.column(1)), prefix)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(coords), len(small), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())], names=["key", "node", "n", "sig"])
+                yield _posts(key.ravel(), *(np.repeat(np.asarray(batch.column(c)), prefix) for c in (0, 1)), small)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, node, coordinate) of what ``post`` posts."""
+        salt = mix(np.arange(1, coords + 1, dtype=np.uint64))
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2048):
+                batch = whole.slice(low, 2048)
+                sig = _matrix(batch.column(1)).view("<u4")
+                key = mix(sig[:, :prefix].astype(U64) * U64(0x9E3779B97F4A7C15) + salt[None, :prefix]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(np.asarray(batch.column(0)), prefix)), pa.array(np.tile(np.arange(prefix, dtype=np.int32), len(key)))], names=["key", "node", "at"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries (key, coordinate, node, n, sig) of long lists under the other coordinates' values."""
+        salt = mix(np.arange(1, coords + 1, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2048):
+                batch = whole.slice(low, 2048)
+                sig = _matrix(batch.column(4)).view("<u4")
+                small = (sig & 255).astype(np.uint8)
+                at = np.asarray(batch.column(1))
+                others = np.arange(prefix)[None, :] + (np.arange(prefix)[None, :] >= at[:, None])  # the first ``prefix`` of the others
+                others = np.minimum(others, coords - 1)
+                value = np.take_along_axis(sig, others, 1).astype(U64)
+                key = mix(mix(value * U64(0x9E3779B97F4A7C15) + salt[others]) + np.asarray(batch.column(0)).astype(U64)[:, None]).astype(np.int64)
+                yield _posts(key.ravel(), *(np.repeat(np.asarray(batch.column(c)), prefix) for c in (2, 3)), np.repeat(small, prefix, 0))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set = set()
@@ -228,7 +257,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out:
             yield _pairs(out)
 
-    posts = classes.select(F.col("set_key").alias("node"), "n", "sig").mapInArrow(post, "key long, node long, n long, sig binary")
+    kind = "key long, node long, n long, sig binary"
+    posts = classes.select(F.col("set_key").alias("node"), "n", "sig").mapInArrow(post, kind)
+    places = classes.select(F.col("set_key").alias("node"), "sig").mapInArrow(place, "key long, node long, at int")
+    long = cut(places.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > LIST).select("key"))
+    if long.limit(1).count():
+        dealt = places.join(long, "key").join(classes.select(F.col("set_key").alias("node"), "n", "sig"), "node").select("key", "at", "node", "n", "sig")
+        posts = posts.join(long, "key", "left_anti").unionByName(dealt.mapInArrow(again, kind))
     loose = connected_components(posts.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "a long, b long"))
     wanted = cut(classes.select("set_key", "rep").join(loose, F.col("set_key") == F.col("node")).select(F.col("rep").alias("doc_id"), "set_key", "component"))
     pivots = [F.min_by("set_key", "doc_id"), *(F.min_by("set_key", F.xxhash64(F.lit(i), "set_key")) for i in range(PIVOTS - 1))]
@@ -287,6 +322,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "set_key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _posts(key: np.ndarray, node: np.ndarray, n: np.ndarray, small: np.ndarray) -> pa.RecordBatch:
+    sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(small.shape[1]), len(small), [None, pa.py_buffer(small.tobytes())]).cast(pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(n), sig], names=["key", "node", "n", "sig"])
+
+
 def _pairs(pairs) -> pa.RecordBatch:
     flat = np.array(sorted(pairs), np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["a", "b"])

@@ -13,7 +13,9 @@ Two windows are used. The contract of the query fixes ``WINDOW``, 400 bytes. The
    each other (a phrase said over and over) are one row with their number, so periodic text costs a row, not one a period.
 3. Sorting: what is left are different spans about equal anchors, a part of the text. They are dealt by anchor content, so equal
    windows meet; parts whose core occurs in one span only are left out, and the suffixes of the rest are put in order
-   by external induced sorting (``induced_sort``), whose common-prefix values of a window mark the repeated ones.
+   by external induced sorting (``induced_sort``), whose common-prefix values of a window mark the repeated ones. An anchor with more than
+   ``SPANS`` different spans (a passage in very many documents) would be one task's: its windows are named one by one instead and
+   counted by Spark.
 4. Marked windows go back to their documents, are merged to maximal runs, and their bytes are removed.
 
 All occurrences are removed, the first too; strings are judged on the input. Equality is that of both
@@ -48,6 +50,8 @@ WINDOW, GRAM = 400, 64
 PASSAGE, PASSAGE_GRAM = 240, 32
 _SEGMENT = 1 << 20
 _LOW = U64((1 << 22) - 1)
+#: Different spans of an anchor that are sorted together.
+SPANS = 1024
 #: Parts of an anchor's window offsets whose cores are compared before sorting.
 _PARTS = 8
 #: A span's place in one number: its first window (31 bits), times it follows itself (14), number of windows (9) and anchor's offset (9).
@@ -141,7 +145,7 @@ def _name(window: int, gram: int):
 
 
 def _contexts(window: int):
-    """(uid, text, [(key, c, lo, n, off)]) to a row for each span, with its bytes."""
+    """(uid, text, [(key, c, lo, n, off, many)]) to a row for each span, with its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -155,7 +159,24 @@ def _contexts(window: int):
             ctx = [raw[b:e] for b, e in zip(begin.tolist(), (begin + n + window - 1).tolist(), strict=True)]
             for low in range(0, len(ctx), 4096):
                 part = slice(low, low + 4096)
-                yield pa.RecordBatch.from_arrays([flat.field("key")[part], pa.array(np.asarray(batch.column(0))[owner[part]]), flat.field("c")[part], flat.field("lo")[part], flat.field("n")[part], flat.field("off")[part], pa.array(ctx[part], pa.binary())], names=["key", "uid", "c", "lo", "n", "off", "ctx"])
+                yield pa.RecordBatch.from_arrays([flat.field("key")[part], pa.array(np.asarray(batch.column(0))[owner[part]]), flat.field("c")[part], flat.field("lo")[part], flat.field("n")[part], flat.field("off")[part], pa.array(ctx[part], pa.binary()), flat.field("many")[part]], names=["key", "uid", "c", "lo", "n", "off", "ctx", "many"])
+
+    return run
+
+
+def _windows_of(window: int):
+    """Rows of spans to (key, name, uid, c, lo) of each of their windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "ctx", 1 << 16):
+            data, at = utf8(batch.column(6))
+            n = np.asarray(batch.column(4))
+            row = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            begin = at[row] + step
+            name = span_hash(prefix_hash(data), begin, begin + window).astype(np.int64)
+            key, uid, c, lo = (np.asarray(batch.column(k))[row] for k in (0, 1, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(name), pa.array(uid), pa.array(c), pa.array(lo + step)], names=["key", "name", "uid", "c", "lo"])
 
     return run
 
@@ -275,13 +296,19 @@ def repeated_intervals(texts: DataFrame, window: int = WINDOW, gram: int = GRAM)
     counted = stored(named.groupBy("key", "name").agg(F.sum(times).alias("c"), F.first("uid").alias("uid"), F.first("place").alias("place")))
     whole = stored(named.join(counted.where("c > 1").select("key", "name"), ["key", "name"]).select("uid", lo.alias("lo"), (lo + n * times + F.lit(window - 1)).alias("hi")))
     drop(named)
-    keys = counted.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("key")
-    open_ = counted.join(keys, "key").select("uid", F.struct("key", "c", lo.alias("lo"), n.alias("n"), off.alias("off")).alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
-    contexts = stored(texts.select("uid", "text").join(open_, "uid").select("uid", "text", "spans").mapInArrow(_contexts(window), "key long, uid long, c long, lo long, n long, off long, ctx binary"))
+    keys = counted.groupBy("key").agg(F.count("*").alias("d"), F.min("c").alias("least")).where("d > 1 AND least = 1").select("key", (F.col("d") > SPANS).alias("many"))
+    open_ = counted.join(keys, "key").select("uid", F.struct("key", "c", lo.alias("lo"), n.alias("n"), off.alias("off"), "many").alias("span")).groupBy("uid").agg(F.collect_list("span").alias("spans"))
+    contexts = stored(texts.select("uid", "text").join(open_, "uid").select("uid", "text", "spans").mapInArrow(_contexts(window), "key long, uid long, c long, lo long, n long, off long, ctx binary, many boolean"))
     drop(counted)
-    sorted_ = stored(contexts.repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_sort(window, gram), "uid long, lo long, hi long"))
+    found = whole
+    if contexts.where("many").limit(1).count():
+        one = stored(contexts.where("many").mapInArrow(_windows_of(window), "key long, name long, uid long, c long, lo long"))
+        twice = one.groupBy("key", "name").agg(F.count("*").alias("k")).where("k > 1").select("key", "name")
+        found = found.unionByName(stored(one.where("c = 1").join(twice, ["key", "name"]).select("uid", "lo", (F.col("lo") + window).alias("hi"))))
+        drop(one)
+    sorted_ = stored(contexts.where("NOT many").drop("many").repartition(partitions(texts.sparkSession), "key").sortWithinPartitions("key").mapInArrow(_sort(window, gram), "uid long, lo long, hi long"))
     drop(contexts)
-    return whole.unionByName(sorted_)
+    return found.unionByName(sorted_)
 
 
 def _uid(id_col: str, text_col: str):

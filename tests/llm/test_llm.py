@@ -360,6 +360,12 @@ def test_mixing_stage_keeps_null_and_shared_ids(spark, edges):
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
+def test_suffix_dedup_of_a_frequent_anchor(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPANS", 2)
+    raw = [texts[d].encode() for d in sorted(texts)]
+    assert both_windows(suffix_dedup.digests(docs)) == (brute_dedup(raw), [x[1:3] for x in brute_dedup(raw, suffix_dedup.PASSAGE)])
+
+
 @pytest.mark.parametrize(("recur", "memory", "block"), [(100, 1 << 26, 1 << 15), (1, 1 << 26, 3), (1, 0, 16)])
 def test_induced_sort_against_sorting(monkeypatch, recur, memory, block):
     monkeypatch.setattr(induced_sort, "RECUR", recur)
@@ -593,9 +599,10 @@ def brute_near(texts: dict, num=85, den=100) -> dict:
     return {d: (len(sets[d]), find(d)) for d in texts}
 
 
-@pytest.mark.parametrize("block", [256, 5])
-def test_near_duplicates_against_brute_force(spark, texts, monkeypatch, block):
+@pytest.mark.parametrize(("block", "entries"), [(256, 2048), (5, 3)])
+def test_near_duplicates_against_brute_force(spark, texts, monkeypatch, block, entries):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "LIST", entries)
     monkeypatch.setattr(near_dedup, "PIVOTS", 2)
     rng = np.random.default_rng(8)
     more = dict(texts)
