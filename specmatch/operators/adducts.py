@@ -72,16 +72,27 @@ def adduct_groups(features: DataFrame, edges: DataFrame) -> DataFrame:
     return features.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("group_id"))
 
 
-def neutral_masses(features: DataFrame, groups: DataFrame, cfg: AdductConfig = AdductConfig()) -> DataFrame:
-    """(group_id, neutral_mass, n_assigned): the neutral mass that explains most members of a group of two or more, then
-    the one with the least median error; re-estimated as the median over what it explains."""
+def adduct_labels(features: DataFrame, groups: DataFrame, cfg: AdductConfig = AdductConfig()) -> DataFrame:
+    """(id, group_id, adduct, neutral_mass, ppm_error) of the features that a group's neutral mass explains.
+
+    Of the neutral masses that a member and an adduct give, a group of two or more takes the one that explains most members, then the one with
+    the least median error; it is then the median over what it explains, and errors are against that. Groups with an unknown or
+    non-positive mass have none. Candidates meet members within their group, which edges of at most ``max_edges`` a feature make.
+    """
     masses = features.sparkSession.createDataFrame(cfg.masses(), "adduct string, mass double")
     member = features.join(groups, "id").select("group_id", "id", "mz")
-    big = member.groupBy("group_id").agg(F.count("*").alias("_n")).where("_n > 1").select("group_id")
-    guess = member.join(big, "group_id").crossJoin(F.broadcast(masses)).select("group_id", "id", "adduct", (F.col("mz") - F.col("mass")).alias("neutral")).where("neutral > 0")
-    c, g = guess.select("group_id", F.col("id").alias("cid"), F.col("adduct").alias("cadduct"), F.col("neutral").alias("c")), guess
-    error = F.abs(F.col("neutral") - F.col("c")) / F.col("c") * 1e6
-    fit = c.join(g, "group_id").withColumn("_e", error).where(F.col("_e") <= cfg.ppm)
-    each = fit.withColumn("_n", F.row_number().over(Window.partitionBy("group_id", "cid", "cadduct", "id").orderBy("_e", "adduct"))).where("_n = 1")
-    score = each.groupBy("group_id", "cid", "cadduct").agg(F.count("*").alias("n_assigned"), F.percentile("_e", 0.5).alias("_m"), F.percentile("neutral", 0.5).alias("neutral_mass"))
-    return score.withColumn("_r", F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("n_assigned"), "_m", "cid", "cadduct"))).where("_r = 1").select("group_id", "neutral_mass", "n_assigned")
+    big = member.groupBy("group_id").agg(F.count("*").alias("_n"), F.sum((F.coalesce("mz", F.lit(0.0)) <= 0).cast("int")).alias("_bad")).where("_n > 1 AND _bad = 0").select("group_id")
+    guess = member.join(big, "group_id").crossJoin(F.broadcast(masses)).select("group_id", "id", "adduct", (F.col("mz") - F.col("mass")).alias("neutral"))
+    c = guess.where("neutral > 0").select("group_id", F.col("id").alias("cid"), F.col("adduct").alias("cadduct"), F.col("neutral").alias("c"))
+    fit = c.join(guess, "group_id").withColumn("_e", F.abs(F.col("neutral") - F.col("c")) / F.col("c") * 1e6).where(F.col("_e") <= cfg.ppm)
+    best = F.min_by(F.struct("adduct", "neutral", "_e"), F.struct("_e", "adduct"))
+    each = fit.groupBy("group_id", "cid", "cadduct", "id").agg(best.alias("b")).select("group_id", "cid", "cadduct", "id", "b.*")
+    score = each.groupBy("group_id", "cid", "cadduct").agg(F.count("*").alias("n"), F.percentile("_e", 0.5).alias("_m"), F.percentile("neutral", 0.5).alias("neutral_mass"))
+    top = score.groupBy("group_id").agg(F.min_by(F.struct("cid", "cadduct", "neutral_mass"), F.struct(-F.col("n"), F.col("_m"), F.col("cid"), F.col("cadduct"))).alias("t")).select("group_id", "t.*")
+    out = each.join(top, ["group_id", "cid", "cadduct"])
+    return out.select("id", "group_id", "adduct", "neutral_mass", (F.abs(F.col("neutral") - F.col("neutral_mass")) / F.col("neutral_mass") * 1e6).alias("ppm_error"))
+
+
+def neutral_masses(features: DataFrame, groups: DataFrame, cfg: AdductConfig = AdductConfig()) -> DataFrame:
+    """(group_id, neutral_mass, n_assigned) of the groups that have one."""
+    return adduct_labels(features, groups, cfg).groupBy("group_id").agg(F.first("neutral_mass").alias("neutral_mass"), F.count("*").alias("n_assigned"))

@@ -526,6 +526,29 @@ def _(spark, d):
     return adducts.adduct_groups(f, adducts.adduct_edges(f))
 
 
+_MASSES = ", ".join(f"('{a}', {x!r}e0)" for a, x in adducts.AdductConfig().masses())
+_LABELS = f"""{_AE}, u AS (SELECT i AS a, j AS b FROM ae UNION ALL SELECT j, i FROM ae), r(node, lab) AS (SELECT a, a FROM u UNION SELECT u.b, r.lab FROM r JOIN u ON u.a=r.node WHERE r.lab<u.b),
+co AS (SELECT io.id, io.mz, coalesce(g, io.id) AS g FROM io LEFT JOIN (SELECT node, min(lab) AS g FROM r GROUP BY node) c ON c.node=io.id), ms AS (SELECT * FROM (VALUES {_MASSES}) t(ad, mass)),
+gu AS (SELECT g, id, ad, mz-mass AS x FROM co, ms WHERE g IN (SELECT g FROM co GROUP BY g HAVING count(*)>1)),
+ft AS (SELECT c.g, c.id AS cid, c.ad AS cad, p.id, p.ad, p.x, abs(p.x-c.x)/c.x*1e6 AS e FROM gu c JOIN gu p ON p.g=c.g WHERE c.x>0 AND abs(p.x-c.x)/c.x*1e6<=10e0),
+ec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, cid, cad, id ORDER BY e, ad) AS n FROM ft) q WHERE n=1),
+sc AS (SELECT g, cid, cad, count(*) AS n, quantile_cont(e,0.5) AS md, quantile_cont(x,0.5) AS nm FROM ec GROUP BY 1,2,3),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, floor(md*1e3+0.5e0), cid, cad) AS k FROM sc) q WHERE k=1)"""
+
+
+@register("neutral_masses", f"WITH RECURSIVE {_LABELS} SELECT g AS group_id, {m('nm')} AS neutral_mass, n AS n_assigned FROM tp")
+def _(spark, d):
+    f = ions(spark, d)
+    return adducts.neutral_masses(f.select("id", "mz"), adducts.adduct_groups(f, adducts.adduct_edges(f))).select("group_id", micro(F.col("neutral_mass")).alias("neutral_mass"), "n_assigned")
+
+
+@register("adduct_labels", f"WITH RECURSIVE {_LABELS} SELECT ec.id, ec.ad AS adduct, {m('nm')} AS neutral_mass FROM tp JOIN ec ON ec.g=tp.g AND ec.cid=tp.cid AND ec.cad=tp.cad")
+def _(spark, d):
+    f = ions(spark, d)
+    labels = adducts.adduct_labels(f.select("id", "mz"), adducts.adduct_groups(f, adducts.adduct_edges(f)))
+    return labels.select("id", "adduct", micro(F.col("neutral_mass")).alias("neutral_mass"))
+
+
 # --- repository metadata -------------------------------------------------------------------------------------------
 
 
@@ -662,12 +685,6 @@ def _(spark, d):
     return spark.createDataFrame([(t.policy, t.scale, t.offset, t.n_anchors, t.n_inliers)], "policy string, scale double, offset double, n_anchors long, n_inliers long")
 
 
-@register("neutral_masses")
-def _(spark, d):
-    f = ions(spark, d)
-    return adducts.neutral_masses(f.select("id", "mz"), adducts.adduct_groups(f, adducts.adduct_edges(f)))
-
-
 @register("stable_graph")
 def _(spark, d):
     return structure.stable_knn(whole(spark, d)[0], 5, n_boot=5)
