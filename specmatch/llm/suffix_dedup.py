@@ -50,8 +50,8 @@ WINDOW, GRAM = 400, 64
 PASSAGE, PASSAGE_GRAM = 240, 32
 _SEGMENT = 1 << 20
 _LOW = U64((1 << 22) - 1)
-#: Different spans of an anchor that are sorted together.
-SPANS = 1024
+#: Different spans of an anchor that are sorted together: some 4 MB, of which the sorter holds about 80 times as much.
+SPANS = 8192
 #: Parts of an anchor's window offsets whose cores are compared before sorting.
 _PARTS = 8
 #: A span's place in one number: its first window (31 bits), times it follows itself (14), number of windows (9) and anchor's offset (9).
