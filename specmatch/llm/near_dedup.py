@@ -83,24 +83,35 @@ def _multipliers(coords: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(4242)).integers(1, 1 << 63, coords, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(nodes, sizes, signatures) of each posting list with two entries or more, from rows in order of key."""
+def _lists(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[int, tuple | None]]:
+    """Key and (nodes, sizes, signatures) of each posting list with two entries or more, from rows in order of key; of a list with more than
+    ``most`` the key alone, and no more than ``most`` entries and a batch are held."""
     rest: list = []
+    over = None
     for batch in batches:
         key = np.asarray(batch.column(0))
         if not len(key):
             continue
         cols = (key, np.asarray(batch.column(1)), np.asarray(batch.column(2)), _matrix(batch.column(3)))
+        if over is not None:
+            cols = tuple(c[key != over] for c in cols)
+            if not len(cols[0]):
+                continue
+            over = None
         if rest:
             cols = tuple(np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True))
         key = cols[0]
         edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         for low, high in zip(edges[:-2].tolist(), edges[1:-1].tolist(), strict=True):
             if high - low > 1:
-                yield cols[1][low:high], cols[2][low:high], cols[3][low:high]
+                yield int(key[low]), None if most is not None and high - low > most else tuple(c[low:high] for c in cols[1:])
         rest = [c[edges[-2] :] for c in cols]
+        if most is not None and len(rest[0]) > most:
+            over = rest[0][0]
+            rest = []
+            yield int(over), None
     if rest and len(rest[0]) > 1:
-        yield rest[1], rest[2], rest[3]
+        yield int(rest[0][0]), tuple(rest[1:])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -247,24 +258,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 key = mix(mix(value * U64(0x9E3779B97F4A7C15) + salt[others]) + np.asarray(batch.column(0)).astype(U64)[:, None]).astype(np.int64)
                 yield _posts(key.ravel(), *(np.repeat(np.asarray(batch.column(c)), prefix) for c in (2, 3)), np.repeat(small, prefix, 0))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: set = set()
-        for nodes, sizes, sigs in _lists(batches):
-            out.update(forest(nodes, sizes, sigs, matches, ratio))
-            if len(out) > 100_000:
+    def merge(most: int | None):
+        """Links (a, b) of the lists; for a list of more than ``most`` entries a row with its key and no b."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: set = set()
+            for key, entries in _lists(batches, most):
+                if entries is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([None], pa.int64())], names=["a", "b"])
+                    continue
+                out.update(forest(*entries, matches, ratio))
+                if len(out) > 100_000:
+                    yield _pairs(out)
+                    out = set()
+            if out:
                 yield _pairs(out)
-                out = set()
-        if out:
-            yield _pairs(out)
+
+        return run
 
     kind = "key long, node long, n long, sig binary"
     posts = classes.select(F.col("set_key").alias("node"), "n", "sig").mapInArrow(post, kind)
-    places = classes.select(F.col("set_key").alias("node"), "sig").mapInArrow(place, "key long, node long, at int")
-    long = cut(places.groupBy("key").agg(F.count("*").alias("entries")).where(F.col("entries") > LIST).select("key"))
+    merged = lambda rows, most: cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(merge(most), "a long, b long"))
+    met = merged(posts, LIST)
+    long = met.where("b IS NULL").select(F.col("a").alias("key"))
     if long.limit(1).count():
+        places = classes.select(F.col("set_key").alias("node"), "sig").mapInArrow(place, "key long, node long, at int")
         dealt = places.join(long, "key").join(classes.select(F.col("set_key").alias("node"), "n", "sig"), "node").select("key", "at", "node", "n", "sig")
-        posts = posts.join(long, "key", "left_anti").unionByName(dealt.mapInArrow(again, kind))
-    loose = connected_components(posts.repartition("key").sortWithinPartitions("key").mapInArrow(merge, "a long, b long"))
+        met = met.where("b IS NOT NULL").unionByName(merged(dealt.mapInArrow(again, kind), None))
+    loose = connected_components(met)
     wanted = cut(classes.select("set_key", "rep").join(loose, F.col("set_key") == F.col("node")).select(F.col("rep").alias("doc_id"), "set_key", "component"))
     pivots = [F.min_by("set_key", "doc_id"), *(F.min_by("set_key", F.xxhash64(F.lit(i), "set_key")) for i in range(PIVOTS - 1))]
     groups = wanted.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.array_distinct(F.array(*pivots)).alias("pivots"))
