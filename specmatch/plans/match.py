@@ -170,7 +170,7 @@ def score(cand: DataFrame, tight: DataFrame, cfg: MatchConfig) -> tuple[DataFram
     cand, tight = residuals(cand), residuals(tight)
     terms = [("ppm", cfg.w_ppm), ("rt", cfg.w_rt), ("roi", cfg.w_roi), ("int", cfg.w_int if cfg.use_intensity else 0.0), ("cv", cfg.w_cv if cfg.use_cv else 0.0)]
     base = tight if cfg.use_anchor_scales and n >= cfg.anchor_scale_min_count else cand
-    got = stats.mad_scales(base, {name: F.col(f"{name}_resid") for name, weight in terms if weight}, cfg.scale_floor).first()
+    got = stats.mad_scales(base, {name: F.col(f"{name}_resid") for name, weight in terms if weight}, cfg.scale_floor)
     ll, scales = F.lit(0.0), {}
     for name, weight in terms:
         if weight:
