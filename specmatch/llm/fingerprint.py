@@ -206,25 +206,23 @@ def _unpack(column: pa.Array) -> np.ndarray:
     return np.stack([packed >> 4, packed & 15], 2).reshape(len(column), -1)
 
 
-def walk(ids: np.ndarray, prints: np.ndarray, least: float) -> list[tuple[int, int, float]]:
-    """A spanning forest of a bucket's pairs at likeness ``least``: each member reached is compared with all not yet reached."""
-    out, open_ = [], np.arange(len(ids))
-    while len(open_) > 1:
-        queue, open_ = [open_[0]], open_[1:]
-        while queue and len(open_):
-            u = queue.pop()
-            near = likeness(prints[open_], prints[u])
-            hit = near >= least
-            out += [(max(int(ids[u]), int(ids[v])), min(int(ids[u]), int(ids[v])), float(x)) for v, x in zip(open_[hit], near[hit], strict=True)]
-            queue += open_[hit].tolist()
-            open_ = open_[~hit]
-    return out
+def walk(ids: np.ndarray, prints: np.ndarray, least: float, band: int = 0, picks: list[list[int]] | None = None) -> Iterator[list[tuple[int, int, float]]]:
+    """All pairs of a bucket at likeness ``least``, a member's at a time; a pair that already agrees in a band before this one
+    is left to that band's bucket."""
+    for u in range(len(ids) - 1):
+        near = likeness(prints[u + 1 :], prints[u])
+        hit = np.flatnonzero(near >= least)
+        if band and len(hit):
+            same = prints[u + 1 + hit] == prints[u]
+            hit = hit[~np.any([same[:, p].all(1) for p in picks[:band]], axis=0)]
+        if len(hit):
+            yield [(max(int(ids[u]), int(ids[v])), min(int(ids[u]), int(ids[v])), float(x)) for v, x in zip(u + 1 + hit, near[hit], strict=True)]
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8, bands: int = 64, width: int = 8) -> DataFrame:
     """Near-duplicate classes by bit-sampled banding: ``width`` slots are a band's key, documents meet under (band,
-    key), and a bucket's members are walked: whoever is linked is compared with all that are not yet, so any two that meet
-    and are alike are linked, at least over others. Equal fingerprints collapse first.
+    key), and all members of a bucket are compared: any two that meet and are alike are a pair, found in the first band
+    where they meet. Equal fingerprints collapse first; all but the first document of a fingerprint are a pair with it.
     Returns doc_id, near_id (a smaller doc_id whose likeness is verified), likeness; a row without doc_id can name no pair."""
     prints = cut(fingerprints(docs.where("doc_id IS NOT NULL")))
     classes = prints.where("n_chars > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("doc"))
@@ -233,24 +231,33 @@ def near_pairs(docs: DataFrame, least: float = 0.8, bands: int = 64, width: int
     rng = np.random.Generator(np.random.PCG64(SEED + 1))
     picks = [sorted(rng.choice(SLOTS, width, replace=False).tolist()) for _ in range(bands)]
     keys = F.array(*[F.xxhash64(F.lit(b), F.concat(*[F.substring("fingerprint", s + 1, 1) for s in p])) for b, p in enumerate(picks)])
-    posts = classes.select("rep", F.explode(keys).alias("key"))
+    posts = classes.select("rep", F.posexplode(keys).alias("band", "key"))
     met = posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = posts.join(met, "key").join(classes, "rep").select("key", "doc", "fingerprint")
+    members = posts.join(met, "key").join(classes, "rep").select("key", "doc", "fingerprint", "band")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), _unpack(batch.column(2)))
+            cols = (np.asarray(batch.column(0)), np.asarray(batch.column(1)), _unpack(batch.column(2)), np.asarray(batch.column(3)))
             cols = cols if rest is None else tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
             edges = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1])
-            found = [x for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for x in walk(cols[1][low:high], cols[2][low:high], least)]
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                yield from batched(walk(cols[1][low:high], cols[2][low:high], least, int(cols[3][low]), picks))
             rest = tuple(c[edges[-1] :] for c in cols)
-            if found:
-                yield _links(found)
-        if rest is not None and (found := walk(rest[1], rest[2], least)):
-            yield _links(found)
+        if rest is not None:
+            yield from batched(walk(rest[1], rest[2], least, int(rest[3][0]), picks))
+
+    def batched(found: Iterator[list[tuple[int, int, float]]]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, float]] = []
+        for some in found:
+            held += some
+            if len(held) > 50_000:
+                yield _links(held)
+                held = []
+        if held:
+            yield _links(held)
 
     linked = members.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(verify, "doc_id long, near_id long, likeness double").where("doc_id != near_id").distinct()
     equal = prints.where("n_chars > 0").join(classes, "fingerprint").where("doc_id != doc").select("doc_id", F.col("doc").alias("near_id"), F.lit(1.0).alias("likeness"))
