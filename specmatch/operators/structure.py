@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from specmatch.session import cut
 
-#: Features of a block and samples of a chunk: dense slices of some 10 MB.
-_BLOCK, _CHUNK = 1024, 1024
+#: Features and values of a block, at most; samples of a dense chunk and sums held at once, some 30 MB each.
+_BLOCK, _VALUES, _CHUNK, _CELLS = 32_768, 1_000_000, 1024, 4_000_000
 
 
 def standardise(expr: DataFrame) -> DataFrame:
@@ -35,41 +35,80 @@ def correlate(z: DataFrame, pairs: DataFrame, n_samples: int) -> DataFrame:
 
 
 def _products(left: pa.Table, right: pa.Table, k: int | None) -> pa.Table:
-    """(i, j, s) of two blocks of features: sums of products over shared samples; with ``k`` the k largest of each i. Samples go
-    by in chunks, so two dense slices and one block by block product are held, whatever the number of samples."""
-    cols = [[np.asarray(t.column(c)) for c in names] for t, names in ((left, ("feature_id", "sample_id", "z")), (right, ("f2", "s2", "z2")))]
-    (fi, ri), (fj, rj) = (np.unique(c[0], return_inverse=True) for c in cols)
-    samples = np.intersect1d(cols[0][1], cols[1][1])
-    total, shared = np.zeros((len(fi), len(fj))), np.zeros((len(fi), len(fj)), np.float32)
-    for low in range(0, len(samples), _CHUNK):
-        part = samples[low : low + _CHUNK]
-        dense = []
-        for rows, (_, s, z), n in ((ri, cols[0], len(fi)), (rj, cols[1], len(fj))):
-            at = np.minimum(np.searchsorted(part, s), len(part) - 1)
-            here = part[at] == s
-            value, there = np.zeros((n, len(part))), np.zeros((n, len(part)), np.float32)
-            value[rows[here], at[here]], there[rows[here], at[here]] = z[here], 1
-            dense.append((value, there))
-        total += dense[0][0] @ dense[1][0].T
-        shared += dense[0][1] @ dense[1][1].T
-    good = (shared > 0) & (fi[:, None] != fj[None, :])
-    if k is not None and k < len(fj):
-        score = np.where(good, -np.abs(total), np.inf)
-        top = np.argsort(score, axis=1, kind="stable")[:, :k]  # fj is in order: ties to the smaller j
-        mine = np.zeros_like(good)
-        np.put_along_axis(mine, top, True, 1)
-        good &= mine
-    i, j = np.nonzero(good)
-    return pa.table({"i": fi[i], "j": fj[j], "s": total[i, j]})
+    """(i, j, s) of two blocks of features: sums of products over shared samples; with ``k`` the k largest of each i. Some left
+    features go at a time, some ``_CELLS`` sums. Where few values are known only the products of known ones are made; else samples go by in chunks
+    of dense slices."""
+    fi, ri, si, zi = _sorted_block(left, ("feature_id", "sample_id", "z"), 0)
+    fj, rj, sj, zj = _sorted_block(right, ("f2", "s2", "z2"), 1)
+    samples, first, many = np.unique(sj, return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(samples, si), max(len(samples) - 1, 0))
+    there = samples[at] == si if len(samples) else np.zeros(len(si), bool)
+    ri, zi, at = ri[there], zi[there], at[there]
+    rows, out = max(1, _CELLS // max(len(fj), 1)), []
+    for low in range(0, len(fi), rows):
+        n = min(rows, len(fi) - low)
+        a = slice(*np.searchsorted(ri, (low, low + n)))
+        r, z, p = ri[a] - low, zi[a], at[a]
+        made = many[p]
+        total, shared = np.zeros(n * len(fj)), np.zeros(n * len(fj), bool)
+        if made.sum() * 50 < n * len(fj) * len(samples):
+            ends, done = np.cumsum(made), 0
+            while done < len(p):
+                before = ends[done - 1] if done else 0
+                to = max(done + 1, int(np.searchsorted(ends, before + _CELLS, "right")))
+                own = made[done:to]
+                y = np.arange(int(own.sum())) - np.repeat(ends[done:to] - own - before, own) + np.repeat(first[p[done:to]], own)
+                cell = np.repeat(r[done:to] * len(fj), own) + rj[y]
+                total += np.bincount(cell, np.repeat(z[done:to], own) * zj[y], len(total))
+                shared[cell] = True
+                done = to
+            total, shared = total.reshape(n, -1), shared.reshape(n, -1)
+        else:
+            total, shared = total.reshape(n, -1), shared.reshape(n, -1)
+            chunk = max(1, min(_CHUNK, _CELLS // max(len(fj), 1)))
+            for c in range(0, len(samples), chunk):
+                width = min(chunk, len(samples) - c)
+                x, y = (np.zeros((m, width)) for m in (n, len(fj)))
+                xs, ys = np.zeros((n, width), np.float32), np.zeros((len(fj), width), np.float32)
+                here = (p >= c) & (p < c + width)
+                x[r[here], p[here] - c], xs[r[here], p[here] - c] = z[here], 1
+                b = slice(first[c], first[c + width - 1] + many[c + width - 1])
+                cols = np.repeat(np.arange(width), many[c : c + width])
+                y[rj[b], cols], ys[rj[b], cols] = zj[b], 1
+                total += x @ y.T
+                shared |= xs @ ys.T > 0
+        good = shared & (fi[low : low + n, None] != fj[None, :])
+        if k is not None and k < len(fj):
+            score = np.where(good, np.abs(total), -1.0)
+            i, j = np.nonzero(good & (score >= np.partition(score, len(fj) - k, axis=1)[:, len(fj) - k, None]))
+            order = np.lexsort((j, -score[i, j], i))  # fj is in order: ties to the smaller j
+            i, j = i[order], j[order]
+            starts = np.flatnonzero(np.diff(i, prepend=-1))
+            kept = np.arange(len(i)) - np.repeat(starts, np.diff(starts, append=len(i))) < k
+            i, j = i[kept], j[kept]
+        else:
+            i, j = np.nonzero(good)
+        out.append((fi[low + i], fj[j], total[i, j]))
+    i, j, s = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (fi, fi, np.empty(0))
+    return pa.table({"i": i, "j": j, "s": s})
+
+
+def _sorted_block(t: pa.Table, names: tuple[str, str, str], by: int) -> tuple[np.ndarray, ...]:
+    """Distinct features and, in order of feature (0) or sample (1), each value's feature place, sample and value."""
+    f, s, z = (np.asarray(t.column(c)) for c in names)
+    f, r = np.unique(f, return_inverse=True)
+    order = np.argsort((r, s)[by], kind="stable")
+    return f, r[order], s[order], z[order]
 
 
 def correlations(expr: DataFrame, n_samples: int, k: int | None = None) -> DataFrame:
     """``r`` of every two features (i, j) that share a sample, in both orders; with ``k`` at least the k largest of each i.
 
-    Features are dealt to blocks of some ``_BLOCK``, and each two blocks meet in one task as dense products: a value is sent once for each
+    Features are dealt to few large blocks, and each two blocks meet in one task: a value is sent once for each
     block, not once for each partner, and with ``k`` a task gives back k rows for a feature."""
     z = standardise(expr)
-    blocks = max(1, -(-expr.agg(F.countDistinct("feature_id")).first()[0] // _BLOCK))
+    features, known = expr.agg(F.countDistinct("feature_id"), F.count("*")).first()
+    blocks = max(1, -(-features // _BLOCK), -(-known // _VALUES), min(4, features // 1024))
     own, every = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = z.withColumn("p", own.cast("int")).withColumn("q", every)
     b = z.select(F.col("feature_id").alias("f2"), F.col("sample_id").alias("s2"), F.col("z").alias("z2"), own.cast("int").alias("q"), every.alias("p"))
