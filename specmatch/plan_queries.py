@@ -18,7 +18,7 @@ from specmatch.operators import align, bandjoin, cluster, decide, drift, stats,
 from specmatch.plans import finder, match, reuse
 from specmatch.plans.config import MatchConfig
 from specmatch.queries import LOCAL, MNN, STUDIES, TOPS, band, m, nn_sql, read, register, softmax, strata, studies, tops, _CANON, _PAIRS, _STRATA
-from specmatch.session import temporary
+from specmatch.session import cut, temporary
 from specmatch.sources import metadata, readers
 from specmatch.sources.views import X, ctes, expression, pair
 
@@ -208,18 +208,8 @@ def _(spark, d):
     """A cache folder of one document to a file, read back whole."""
     at = temporary(spark, "query")
     named = _documents(spark, d).withColumn("id", F.format_string("AN%06d", F.col("n")))
-    named.select("id", F.col("json").alias("value")).repartition("id").write.partitionBy("id").text(f"{at}/parts")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(f"{at}/parts")
-    fs = root.getFileSystem(conf)
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{at}/cache"))
-    for s in fs.listStatus(root):
-        name = s.getPath().getName()
-        if name.startswith("id="):
-            for part in fs.listStatus(s.getPath()):
-                if part.getPath().getName().startswith("part-"):
-                    fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(f"{at}/cache/{name[3:]}.json"))
-    docs = metadata.read_cache(spark, f"{at}/cache")
+    metadata.write_cache(named.select("id", F.col("json").alias("value")), f"{at}/cache")
+    docs = cut(metadata.read_cache(spark, f"{at}/cache"))
     return metadata.metadata(docs).join(docs.select(F.col("analysis_id_hint").alias("hint")), F.col("analysis_id") == F.col("hint")).select("analysis_id", "hint", "ion_mode_norm")
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from specmatch.functions import columns as C
+from specmatch.session import partitions
 
 #: Labels that end the value of the label before them (fixed values).
 LABELS = ("UNITS", "Has m/z", "Has RT", "RT units")
@@ -102,7 +107,30 @@ def study_data(docs: DataFrame, json_col: str = "json") -> tuple[DataFrame, Data
     return named.drop("_doc", "_data"), values.select(*rest, "sample_id", "feature_id", C.known(F.trim("_v")).alias("v"))
 
 
+def write_cache(docs: DataFrame, folder: str) -> None:
+    """Documents (id, value) as files ``id``.json of a folder that all tasks share, written where they are: a file comes whole or not at all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(folder)
+        n = 0
+        for batch in batches:
+            for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                temporary = f"{at}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(temporary) as f:
+                    f.write(value.encode())
+                system.move(temporary, f"{at}/{name}.json")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
+    docs.select("id", "value").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
     """Cached documents of a folder, one to a file: (path, analysis_id_hint, json). Without a network the cache is the source."""
     files = spark.read.text(f"{folder}/*.json", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+    files = files.coalesce(partitions(spark))  # small files fill Spark's splits by a few, and each split would be a task
     return files.select("path", F.regexp_extract("path", r"(AN\d+)[^/]*$", 1).alias("analysis_id_hint"), F.col("value").alias("json"))
