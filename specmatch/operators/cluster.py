@@ -62,7 +62,8 @@ def _study(features: DataFrame, study: str) -> DataFrame:
     from specmatch.plans.match import with_ids
 
     own = features.where(F.col("study_id") == study).select("feature_id", "MZ", "RT", "Intensity")
-    return cut(with_ids(own.orderBy("feature_id")))
+    # ids settle ties between equal masses: names that are numbers go by their value, so 9 is before 10
+    return cut(with_ids(own.orderBy(F.col("feature_id").try_cast("long").asc_nulls_last(), "feature_id")))
 
 
 def _ids(features: DataFrame) -> list[str]:
