@@ -17,10 +17,10 @@ def test_rows_with_the_same_scores_get_the_same_doubles(spark):
 
 
 def test_a_columns_largest_weight_wins_by_any_margin(spark):
-    w = 0.3
-    more = np.nextafter(w, 1)
-    for other in np.linspace(0.1, 7, 8).tolist():  # with some of these sums both shares round to the same
-        edges = spark.createDataFrame([(1, 5, w), (2, 5, float(more)), (3, 5, other * 1e-3)], "id1 long, id2 long, ot_weight double")
+    for w, other in [(0.4979870860764374, 0.01789741716084584), (0.4987337488318487, 0.01285850605509452)]:
+        more = float(np.nextafter(w, 1))
+        assert w / (w + more + other) == more / (w + more + other)  # as shares they would tie
+        edges = spark.createDataFrame([(1, 5, w), (2, 5, more), (3, 5, other)], "id1 long, id2 long, ot_weight double")
         top = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "id1 long, id2 long")
         assert [tuple(r) for r in decide.one_direction_mutual(top, edges).collect()] == [(2, 5)]
 
