@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +85,23 @@ def test_no_pairs(spark, sides):
     far = spark.createDataFrame([(1, 900.0, 1.0)], "id long, mz double, rt double")
     assert bandjoin.nearest(sides[0], far, 20.0).isEmpty() and windows.quantile(sides[0], far, 20.0, LINE, 0.5) is None
     assert windows.best(sides[0], far, 20.0, LINE, 1.0, 3.0, 2).isEmpty() and windows.mad_scale(sides[0], far, 20.0, LINE) == 1e-3
+
+
+def test_lines_of_many_points_are_as_exact_as_of_few(spark):
+    rng = np.random.default_rng(8)
+    x = 200 + rng.random(100_000) * 8
+    y = 1e-3 * x + rng.normal(0, 12, len(x))
+    xs, ys = ([Fraction(v) for v in c.tolist()] for c in (x, y))
+    n, sx, sy = len(xs), sum(xs), sum(ys)
+    slope = (sum(a * b for a, b in zip(xs, ys, strict=True)) - sx * sy / n) / (sum(a * a for a in xs) - sx * sx / n)
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    for parts in (1, 5):
+        got = stats.ols(df.repartition(parts), "x", "y").first()
+        assert got.n == n and abs(Fraction(got.slope) / slope - 1) < 2e-15
+        assert abs(Fraction(got.intercept) - (sy / n - slope * sx / n)) < 1e-15 * abs(slope) * 204
+
+
+def test_lines_of_few_or_equal_points(spark):
+    df = spark.createDataFrame([(1.0, 3.0, 1.0, None), (1.0, 5.0, None, 2.0), (1.0, 4.0, None, None)], "x double, y double, u double, v double")
+    got = stats.lines(df, {"a": ("x", "y"), "b": ("u", "y"), "c": ("u", "v")}).first().asDict()
+    assert got == {"rows": 3, "an": 3, "aslope": 0.0, "aintercept": 4.0, "bn": 1, "bslope": 0.0, "bintercept": 0.0, "cn": 0, "cslope": 0.0, "cintercept": 0.0}
