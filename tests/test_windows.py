@@ -105,3 +105,15 @@ def test_lines_of_few_or_equal_points(spark):
     df = spark.createDataFrame([(1.0, 3.0, 1.0, None), (1.0, 5.0, None, 2.0), (1.0, 4.0, None, None)], "x double, y double, u double, v double")
     got = stats.lines(df, {"a": ("x", "y"), "b": ("u", "y"), "c": ("u", "v")}).first().asDict()
     assert got == {"rows": 3, "an": 3, "aslope": 0.0, "aintercept": 4.0, "bn": 1, "bslope": 0.0, "bintercept": 0.0, "cn": 0, "cslope": 0.0, "cintercept": 0.0}
+
+
+def test_a_scaling_is_computed_once(spark, monkeypatch):
+    joins, cut = [], transport.cut
+    monkeypatch.setattr(transport, "cut", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or cut(df))
+    rng = np.random.default_rng(3)
+    e = spark.createDataFrame(pd.DataFrame({"id1": rng.integers(0, 30, 200), "id2": rng.integers(0, 40, 200), "ll": rng.normal(0, 2, 200)}).drop_duplicates(["id1", "id2"]))
+    for s in (transport.Sinkhorn(max_iter=3, tau_row=10 / 10.5, tau_col=0.5), transport.Sinkhorn(max_iter=12)):
+        got = {(r.id1, r.id2): r.ot_weight for r in transport.sinkhorn(e, s, -2.0).collect()}
+        want = {(r.id1, r.id2): r.ot_weight for r in transport.sinkhorn_auto(e, s, -2.0).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert max(joins) == 1  # what is written never holds the scalings before it
