@@ -17,7 +17,7 @@ from tests.compare import connect, differences
 SF = "/root/testdata/sf0.001"
 
 #: Told from sorted mass slices alone.
-NO_PAIRS = ["abstain_ambiguous", "abstain_confidence", "hybrid_policy", "row_entropy", "row_softmax_null", "row_trust", "sinkhorn_balanced_n", "top2_margin"]
+NO_PAIRS = ["abstain_ambiguous", "abstain_confidence", "finish_probability", "hybrid_policy", "row_entropy", "row_softmax_null", "row_trust", "sinkhorn_balanced_n", "top2_margin"]
 
 
 @pytest.fixture(scope="module")
