@@ -17,7 +17,7 @@ from tests.compare import connect, differences
 SF = "/root/testdata/sf0.001"
 
 #: Told from sorted mass slices alone.
-NO_PAIRS = ["abstain_ambiguous", "abstain_confidence", "finish_probability", "hybrid_policy", "left_outer_top1", "row_entropy", "row_softmax_null", "row_trust", "semi_relaxed_ot", "sink_candidates", "sinkhorn_balanced_n", "top1_decision", "top2_margin"]
+NO_PAIRS = ["abstain_ambiguous", "abstain_confidence", "finish_probability", "hybrid_policy", "left_outer_top1", "null_quantile", "row_entropy", "row_softmax_null", "row_trust", "semi_relaxed_ot", "sink_candidates", "sinkhorn_balanced_n", "top1_decision", "top2_margin"]
 
 
 @pytest.fixture(scope="module")
