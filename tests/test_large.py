@@ -54,3 +54,13 @@ def test_no_pairs_are_made(spark, con, name, monkeypatch):
     monkeypatch.setattr(F, "percentile", refuse)
     assert not differences(QUERIES[name](spark, SF), con, ORACLES[name])
     assert steps and not any(steps)  # what a step shuffled goes with it
+
+
+def test_likelihoods_make_the_pairs_once(spark, con, monkeypatch):
+    """student_t_loglik returns the pairs: its line and its scale are told without them."""
+    calls, join = [], bandjoin.band_join
+    monkeypatch.setattr(bandjoin, "band_join", lambda *a, **k: calls.append(a) or join(*a, **k))
+    monkeypatch.setattr(F, "percentile", refuse)
+    got = QUERIES["student_t_loglik"](spark, SF)
+    assert len(calls) == 1 and "Window" not in got._jdf.queryExecution().toString()
+    assert not differences(got, con, ORACLES["student_t_loglik"])
