@@ -64,3 +64,9 @@ def test_likelihoods_make_the_pairs_once(spark, con, monkeypatch):
     got = QUERIES["student_t_loglik"](spark, SF)
     assert len(calls) == 1 and "Window" not in got._jdf.queryExecution().toString()
     assert not differences(got, con, ORACLES["student_t_loglik"])
+
+
+def test_anchor_scales_are_counted(spark, con, monkeypatch):
+    """anchor_scales: no task holds the distinct residuals of a term."""
+    monkeypatch.setattr(F, "percentile", refuse)
+    assert not differences(QUERIES["anchor_scales"](spark, SF), con, ORACLES["anchor_scales"])
