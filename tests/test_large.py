@@ -70,3 +70,16 @@ def test_anchor_scales_are_counted(spark, con, monkeypatch):
     """anchor_scales: no task holds the distinct residuals of a term."""
     monkeypatch.setattr(F, "percentile", refuse)
     assert not differences(QUERIES["anchor_scales"](spark, SF), con, ORACLES["anchor_scales"])
+
+
+#: Asked of a left row's partners together, which come as one row.
+BY_ROW = ["row_entropy"]
+
+
+@pytest.mark.parametrize("name", BY_ROW)
+def test_edges_are_not_dealt_again(spark, con, name, monkeypatch):
+    """What is asked of the kept edges by left row neither sorts nor deals them again."""
+    monkeypatch.setattr(transport, "_row", refuse)
+    got = QUERIES[name](spark, SF)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    assert not differences(got, con, ORACLES[name])

@@ -117,3 +117,16 @@ def test_a_scaling_is_computed_once(spark, monkeypatch):
         want = {(r.id1, r.id2): r.ot_weight for r in transport.sinkhorn_auto(e, s, -2.0).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert max(joins) == 1  # what is written never holds the scalings before it
+
+
+@pytest.mark.parametrize("temperature", [1.0, 0.5])
+def test_rows_of_lists_say_what_edges_say(sides, temperature, monkeypatch):
+    """Softmax and entropy of ranked rows: the edges' doubles, without an exchange behind the cells."""
+    monkeypatch.setattr(windows, "SHARE", 50)
+    rows = transport.ranked_softmax(windows.ranked(*sides, 20.0, LINE, 12.5, 3.0, 7), -4.0, temperature)
+    edges = transport.row_softmax(windows.best(*sides, 20.0, LINE, 12.5, 3.0, 7), -4.0, temperature)
+    seen = lambda e: {(r.id1, r.id2, r.mz2): (r.ll, r.p_row, r.p0) for r in e.collect()}
+    assert len(want := seen(edges)) > 2000 and seen(windows.each(rows, "id2", "mz2", "ll", "p_row")) == want
+    entropy = {r.id1: r.entropy for r in transport.row_entropy(edges).collect()}
+    assert {r.id1: r.entropy for r in transport.ranked_entropy(rows).collect()} == pytest.approx(entropy)
+    assert all(list(r.p_row) == sorted(r.p_row, reverse=True) for r in rows.collect())
