@@ -73,7 +73,7 @@ def test_anchor_scales_are_counted(spark, con, monkeypatch):
 
 
 #: Asked of a left row's partners together, which come as one row.
-BY_ROW = ["row_entropy"]
+BY_ROW = ["hybrid_policy", "row_entropy"]
 
 
 @pytest.mark.parametrize("name", BY_ROW)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specmatch.functions import columns as C
-from specmatch.operators import bandjoin, stats, transport, windows
+from specmatch.operators import bandjoin, decide, stats, transport, windows
 
 LINE = (0.4, -0.002)
 
@@ -130,3 +130,15 @@ def test_rows_of_lists_say_what_edges_say(sides, temperature, monkeypatch):
     entropy = {r.id1: r.entropy for r in transport.row_entropy(edges).collect()}
     assert {r.id1: r.entropy for r in transport.ranked_entropy(rows).collect()} == pytest.approx(entropy)
     assert all(list(r.p_row) == sorted(r.p_row, reverse=True) for r in rows.collect())
+
+
+def test_best_of_a_row_of_lists(spark):
+    """Equal probabilities go by mass, then id, whatever the order of their scores; a row may have one candidate."""
+    tie = [(1, 9, 5.0, 0.25), (1, 8, 4.0, 0.25), (1, 7, 4.0, 0.25), (1, 6, 3.0, 0.125), (2, 5, 1.0, 0.5)]
+    edges = spark.createDataFrame(tie, "id1 long, id2 long, mz2 double, p_row double")
+    rows = spark.createDataFrame([(k, *[[x[c] for x in tie if x[0] == k] for c in (1, 2, 3)], 0.1) for k in (1, 2)], "id1 long, id2 array<long>, mz2 array<double>, p_row array<double>, p0 double")
+    got = decide.ranked_top2(rows)
+    assert sorted(got.select("id1", "id2", "p1", "margin").collect()) == sorted(decide.top2(edges, "p_row").select("id1", "id2", "p1", "margin").collect()) == [(1, 7, 0.25, 0.0), (2, 5, 0.5, 0.5)]
+    assert sorted(got.select("id1", "p_null", "n_candidates").collect()) == [(1, 0.1, 4), (2, 0.1, 1)]
+    top = decide.decided(spark.range(1, 4).withColumnRenamed("id", "id1"), got, "null_ot", 0.0, "n_candidates")
+    assert sorted((r.id1, r.id2, r.decision, r.n_candidates) for r in top.collect()) == [(1, 7, "match", 4), (2, 5, "match", 1), (3, -1, "no_candidate", None)]
