@@ -73,7 +73,7 @@ def test_anchor_scales_are_counted(spark, con, monkeypatch):
 
 
 #: Asked of a left row's partners together, which come as one row.
-BY_ROW = ["hybrid_policy", "row_entropy", "null_quantile", "top1_decision", "sink_candidates"]
+BY_ROW = ["hybrid_policy", "null_quantile", "row_entropy", "row_softmax_null", "sink_candidates", "top1_decision"]
 
 
 @pytest.mark.parametrize("name", BY_ROW)
