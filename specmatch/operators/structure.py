@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specmatch.session import cut
@@ -226,4 +226,8 @@ def adaptive_weight(edges: DataFrame, tau: float, gamma: float, p: str = "p_row_
     """``_trust`` of each edge: how much structure may say in its row, less the further the row's best option leads its second."""
     two = F.slice(F.sort_array(F.collect_list(F.col(p)).over(Window.partitionBy("id1")), False), 1, 2)
     lead = F.element_at(two, 1) - F.when(F.size(two) > 1, F.element_at(two, -1)).otherwise(0.0)
-    return edges.withColumn("_trust", F.pow(1.0 / (1.0 + F.greatest(lead, F.lit(0.0)) / tau), gamma))
+    return edges.withColumn("_trust", trust(lead, tau, gamma))
+
+
+def trust(lead: Column, tau: float, gamma: float) -> Column:
+    return F.pow(1.0 / (1.0 + F.greatest(lead, F.lit(0.0)) / tau), gamma)

@@ -17,7 +17,7 @@ from specmatch.functions.columns import PROTON, micro
 from specmatch.operators import align, bandjoin, cluster, decide, drift, stats, structure
 from specmatch.plans import finder, match, reuse
 from specmatch.plans.config import MatchConfig
-from specmatch.queries import LOCAL, MNN, STUDIES, TOPS, band, m, nn_sql, read, register, softmax, strata, studies, tops, _CANON, _PAIRS, _STRATA
+from specmatch.queries import LOCAL, MNN, STUDIES, TOPS, band, m, nn_sql, read, register, softmax, softmax_rows, strata, studies, tops, _CANON, _PAIRS, _STRATA
 from specmatch.session import cut, temporary
 from specmatch.sources import metadata, readers
 from specmatch.sources.views import X, ctes, expression, pair
@@ -371,8 +371,7 @@ def _(spark, d):
 
 @register("row_trust", f"WITH {LOCAL}, k AS (SELECT id1, id2, p, row_number() OVER (PARTITION BY id1 ORDER BY p DESC) AS k FROM lo), l AS (SELECT id1, max(CASE WHEN k=1 THEN p END)-coalesce(max(CASE WHEN k=2 THEN p END),0e0) AS lead FROM k GROUP BY id1) SELECT id1, {m('pow(1e0/(1e0+lead/0.2e0),1.5e0)')} AS trust FROM l")
 def _(spark, d):
-    e = structure.adaptive_weight(softmax(spark, d, 1.0).withColumnRenamed("p_row", "p_row_ot"), 0.2, 1.5)
-    return e.groupBy("id1").agg(micro(F.max("_trust")).alias("trust"))
+    return decide.ranked_top2(softmax_rows(spark, d, 1.0)).select("id1", micro(structure.trust(F.col("margin"), 0.2, 1.5)).alias("trust"))
 
 
 _UP = f"SELECT id, mz+{PROTON!r}e0 AS mz FROM b"
