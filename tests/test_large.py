@@ -73,7 +73,7 @@ def test_anchor_scales_are_counted(spark, con, monkeypatch):
 
 
 #: Asked of a left row's partners together, which come as one row.
-BY_ROW = ["hybrid_policy", "null_quantile", "row_entropy", "row_softmax_null", "sink_candidates", "top1_decision", "semi_relaxed_ot", "row_trust", "top2_margin", "abstain_ambiguous", "abstain_confidence", "finish_probability"]
+BY_ROW = ["hybrid_policy", "null_quantile", "row_entropy", "row_softmax_null", "sink_candidates", "top1_decision", "semi_relaxed_ot", "row_trust", "top2_margin", "abstain_ambiguous", "abstain_confidence", "finish_probability", "left_outer_top1"]
 
 
 @pytest.mark.parametrize("name", BY_ROW)
