@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specmatch.operators import products
 from specmatch.session import cut
 
 #: Features and values of a block, at most; samples of a dense chunk and sums held at once, some 30 MB each.
@@ -34,8 +35,8 @@ def correlate(z: DataFrame, pairs: DataFrame, n_samples: int) -> DataFrame:
     return pairs.join(zi, "i").join(zj, ["j", "sample_id"]).groupBy("i", "j").agg((F.sum(F.col("zi") * F.col("zj")) / (n_samples - 1)).alias("r"))
 
 
-def _products(left: pa.Table, right: pa.Table, k: int | None) -> pa.Table:
-    """(i, j, s) of two blocks of features: sums of products over shared samples; with ``k`` the k largest of each i. Some left
+def _products(left: pa.Table, right: pa.Table, k: int | None, least: float = 0.0) -> pa.Table:
+    """(i, j, s) of two blocks of features: sums of products over shared samples, of ``least`` in size; with ``k`` the k largest of each i. Some left
     features go at a time, some ``_CELLS`` sums. Where few values are known only the products of known ones are made; else samples go by in chunks
     of dense slices."""
     fi, ri, si, zi = _sorted_block(left, ("feature_id", "sample_id", "z"), 0)
@@ -77,7 +78,7 @@ def _products(left: pa.Table, right: pa.Table, k: int | None) -> pa.Table:
                 y[rj[b], cols], ys[rj[b], cols] = zj[b], 1
                 total += x @ y.T
                 shared |= xs @ ys.T > 0
-        good = shared & (fi[low : low + n, None] != fj[None, :])
+        good = shared & (fi[low : low + n, None] != fj[None, :]) & (np.abs(total) >= least)
         if k is not None and k < len(fj):
             score = np.where(good, np.abs(total), -1.0)
             i, j = np.nonzero(good & (score >= np.partition(score, len(fj) - k, axis=1)[:, len(fj) - k, None]))
@@ -101,10 +102,24 @@ def _sorted_block(t: pa.Table, names: tuple[str, str, str], by: int) -> tuple[np
     return f, r[order], s[order], z[order]
 
 
-def correlations(expr: DataFrame, n_samples: int, k: int | None = None) -> DataFrame:
-    """``r`` of every two features (i, j) that share a sample, in both orders; with ``k`` at least the k largest of each i.
+def correlations(expr: DataFrame, n_samples: int, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """``r`` of every two features (i, j) that share a sample, in both orders; with ``k`` at least the k largest of each i, with ``least``
+    those of that size. Where few values are known only their products are made (``products``); else dense blocks are multiplied."""
+    stored = products.store(expr)
+    try:
+        met = products.pairs(stored, k, _bound(least, n_samples))
+    finally:
+        stored.drop()
+    return _dense(expr, n_samples, k, least) if met is None else met.select("i", "j", (F.col("s") / (n_samples - 1)).alias("r"))
 
-    Features are dealt to few large blocks, and each two blocks meet in one task: a value is sent once for each
+
+def _bound(least: float, n_samples: int) -> float:
+    """Of sums of products, a little below: the exact test is the caller's."""
+    return least * (n_samples - 1) * (1 - 1e-9)
+
+
+def _dense(expr: DataFrame, n_samples: int, k: int | None = None, least: float = 0.0) -> DataFrame:
+    """``correlations`` by dense products. Features are dealt to few large blocks, and each two blocks meet in one task: a value is sent once for each
     block, not once for each partner, and with ``k`` a task gives back k rows for a feature."""
     z = standardise(expr)
     features, known = expr.agg(F.countDistinct("feature_id"), F.count("*")).first()
@@ -112,8 +127,8 @@ def correlations(expr: DataFrame, n_samples: int, k: int | None = None) -> DataF
     own, every = F.pmod(F.xxhash64("feature_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = z.withColumn("p", own.cast("int")).withColumn("q", every)
     b = z.select(F.col("feature_id").alias("f2"), F.col("sample_id").alias("s2"), F.col("z").alias("z2"), own.cast("int").alias("q"), every.alias("p"))
-    kind = dict(expr.dtypes)["feature_id"]
-    met = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(lambda x, y: _products(x, y, k).cast(_pairs_schema(kind)), f"i {kind}, j {kind}, s double")
+    kind, bound = dict(expr.dtypes)["feature_id"], _bound(least, n_samples)
+    met = a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(lambda x, y: _products(x, y, k, bound).cast(_pairs_schema(kind)), f"i {kind}, j {kind}, s double")
     return met.select("i", "j", (F.col("s") / (n_samples - 1)).alias("r"))
 
 
@@ -186,12 +201,24 @@ def stable_knn(expr: DataFrame, k: int, n_boot: int = 10, share: float = 0.8, fr
     """(i, j, n, w): at most k neighbours found in a share ``freq`` (above 1: a number) of the draws, the most often found first;
     weights are means over the draws that found them, and sum to 1."""
     least = max(math.ceil(freq * n_boot) if freq <= 1 else int(freq), 1)
-    n = max(2, round(share * expr.agg(F.countDistinct("sample_id")).first()[0]))
-    drawn = cut(draws(expr, n_boot, share, seed))
-    found = None
-    for b in range(n_boot):
-        own = corr_knn(expr.join(drawn.where(F.col("boot_id") == b), "sample_id", "left_semi"), k, n).select("i", "j", "w")
-        found = own if found is None else found.unionByName(own)
+    samples = cut(expr.select("sample_id").distinct())
+    n = max(2, round(share * samples.count()))
+    drawn = cut(draws(samples, n_boot, share, seed))
+    found, stored = None, None
+    try:
+        for b in range(n_boot):
+            if b % 62 == 0:  # a sample's draws are bits of one number
+                if stored is not None:
+                    stored.drop()
+                bits = drawn.where(f"boot_id >= {b} AND boot_id < {b + 62}").groupBy("sample_id").agg(F.sum(F.expr(f"shiftleft(1L, boot_id - {b})")).alias("draws"))
+                stored = products.store(expr.join(F.broadcast(bits), "sample_id"))
+            met = products.pairs(stored, k, draw=b % 62)
+            r = _dense(expr.join(drawn.where(F.col("boot_id") == b), "sample_id", "left_semi"), n, k) if met is None else met.select("i", "j", (F.col("s") / (n - 1)).alias("r"))
+            own = _nearest(r, k).select("i", "j", "w")
+            found = own if found is None else found.unionByName(own)
+    finally:
+        if stored is not None:
+            stored.drop()
     kept = found.groupBy("i", "j").agg(F.count("*").alias("n"), F.sum("w").alias("_s")).where(F.col("n") >= least)
     top = kept.withColumn("_k", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), F.desc("_s"), "j"))).where(F.col("_k") <= k).withColumn("w", F.col("_s") / F.col("n"))
     return top.select("i", "j", "n", (F.col("w") / F.greatest(F.sum("w").over(Window.partitionBy("i")), F.lit(1e-8))).alias("w"))
