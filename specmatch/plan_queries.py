@@ -350,7 +350,7 @@ cr AS (SELECT id1, id2, dp-(pi+ps*mz1) AS p, dr-(ri+rs*rt1) AS r, di-(qi+qs*i1)
 def _scored(spark: SparkSession, d: str, anchors: bool) -> tuple[DataFrame, dict]:
     cfg = MatchConfig(tight_anchor_strategy="all", rt_drift_model="linear", use_intensity=True, w_rt=0.5, w_roi=0.0, w_int=0.25, use_anchor_scales=anchors, tight_intensity_log_diff=0.0)
     a, b = full(spark, d)
-    return match.score(match.differences(bandjoin.band_join(a, b, cfg.ppm)), match.anchors(a, b, cfg), cfg)
+    return match.score(match.differences(bandjoin.band_join(a, b, cfg.ppm)), match.anchors(a, b, cfg), cfg, (a, b))
 
 
 @register("weighted_loglik", f"WITH {_weighted(False)} SELECT id1, id2, {m('ll')} AS ll FROM ll")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specmatch.functions import columns as C
-from specmatch.operators import align, bandjoin, decide, drift, stats, structure, transport
+from specmatch.operators import align, bandjoin, decide, drift, stats, structure, transport, windows
 from specmatch.plans.config import MatchConfig
 from specmatch.session import cut
 
@@ -141,8 +141,13 @@ def differences(pairs: DataFrame) -> DataFrame:
 _TERMS = {"ppm": ("delta_ppm_raw", "mz1", "ppm"), "rt": ("delta_rt", "rt1", "rt"), "roi": ("delta_roi", "ro1", "roi"), "int": ("intensity_log_diff", "int1", None), "cv": ("cv_log_diff", "cv1", None)}
 
 
-def score(cand: DataFrame, tight: DataFrame, cfg: MatchConfig) -> tuple[DataFrame, dict[str, Any]]:
-    """Candidates with drift, residuals and their log likelihood."""
+#: Right and left column of a term's difference; ppm has its own.
+_SIDES = {"ppm": ("", ""), "rt": ("rt2", "rt1"), "roi": ("ro2", "ro1"), "int": ("int2", "int1"), "cv": ("cv2", "cv1")}
+
+
+def score(cand: DataFrame, tight: DataFrame, cfg: MatchConfig, sides: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, dict[str, Any]]:
+    """Candidates with drift, residuals and their log likelihood. ``sides``: both studies, where candidates and anchors are all their pairs
+    within the tolerances of mass; scales are then counted along mass slices."""
     if cfg.drift_fit_bootstrap and (n := tight.count()) >= drift.LEAST:
         tight = cut(tight.sample(True, 1.0, cfg.drift_bootstrap_seed))
     models: dict[str, drift.Drift] = {}
@@ -169,8 +174,17 @@ def score(cand: DataFrame, tight: DataFrame, cfg: MatchConfig) -> tuple[DataFram
 
     cand, tight = residuals(cand), residuals(tight)
     terms = [("ppm", cfg.w_ppm), ("rt", cfg.w_rt), ("roi", cfg.w_roi), ("int", cfg.w_int if cfg.use_intensity else 0.0), ("cv", cfg.w_cv if cfg.use_cv else 0.0)]
-    base = tight if cfg.use_anchor_scales and n >= cfg.anchor_scale_min_count else cand
-    got = stats.mad_scales(base, {name: F.col(f"{name}_resid") for name, weight in terms if weight}, cfg.scale_floor)
+    own = cfg.use_anchor_scales and n >= cfg.anchor_scale_min_count
+    got = None
+    if sides is not None:
+        left, right, of = windows.side(sides[0], 1), windows.side(sides[1], 2), {}
+        for name, weight in terms:
+            if weight:
+                of[name] = _SIDES[name]
+                left = left.withColumn(f"fit_{name}", models[name].at(F.col(wanted[name][1])))
+        got = windows.mad_scales(left, right, cfg.tight_ppm if own else cfg.ppm, of, cfg.scale_floor)
+    if got is None:
+        got = stats.mad_scales(tight if own else cand, {name: F.col(f"{name}_resid") for name, weight in terms if weight}, cfg.scale_floor)
     ll, scales = F.lit(0.0), {}
     for name, weight in terms:
         if weight:
