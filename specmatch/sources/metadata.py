@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from specmatch import shared_files
 from specmatch.functions import columns as C
 from specmatch.session import partitions
 
@@ -129,8 +131,66 @@ def write_cache(docs: DataFrame, folder: str) -> None:
     docs.select("id", "value").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
+#: Stores that tasks read without Spark's readers.
+_STORES = ("file:", "hdfs:", "s3:", "gs:")
+
+
 def read_cache(spark: SparkSession, folder: str) -> DataFrame:
-    """Cached documents of a folder, one to a file: (path, analysis_id_hint, json). Without a network the cache is the source."""
-    files = spark.read.text(f"{folder}/*.json", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
-    files = files.coalesce(partitions(spark))  # small files fill Spark's splits by a few, and each split would be a task
-    return files.select("path", F.regexp_extract("path", r"(AN\d+)[^/]*$", 1).alias("analysis_id_hint"), F.col("value").alias("json"))
+    """Cached documents of a folder, one to a file: (path, analysis_id_hint, json). Without a network the cache is the source.
+
+    One task lists names and all tasks read files, so the driver holds neither; in stores that only Spark's readers open it lists them itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not whole.startswith(_STORES):
+        files = spark.read.text(f"{folder}/*.json", wholetext=True).withColumn("path", F.col("_metadata.file_path"))
+        files = files.coalesce(partitions(spark))  # small files fill Spark's splits by a few, and each split would be a task
+        return files.select("path", F.regexp_extract("path", r"(AN\d+)[^/]*$", 1).alias("analysis_id_hint"), F.col("value").alias("json"))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(folder)
+    there = shared_files.local(whole)
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            own: list[str] = []
+            for name in _listed(whole):
+                if name.endswith(".json") and name[0] not in "._":
+                    own.append(name)
+                if len(own) == 10_000:
+                    yield pa.RecordBatch.from_pydict({"name": own})
+                    own = []
+            if own:
+                yield pa.RecordBatch.from_pydict({"name": own})
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, at = (None, there) if there is not None else fs.FileSystem.from_uri(whole)
+        for batch in batches:
+            paths, values, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with open(f"{at}/{name}", "rb") if system is None else system.open_input_stream(f"{at}/{name}") as f:
+                    value = f.read().decode("utf-8", "replace")
+                paths.append(f"file://{there}/{name}" if system is None else f"{whole}/{name}")
+                values.append(value)
+                size += len(value)
+                if size > 8_000_000:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "json": values})
+                    paths, values, size = [], [], 0
+            if paths:
+                yield pa.RecordBatch.from_pydict({"path": paths, "json": values})
+
+    listed = spark.range(0, 1, 1, 1).select("id").mapInArrow(names, "name string").repartition(partitions(spark), "name")
+    return listed.mapInArrow(texts, "path string, json string").select("path", F.regexp_extract("path", r"(AN\d+)[^/]*$", 1).alias("analysis_id_hint"), "json")
+
+
+def _listed(folder: str) -> Iterator[str]:
+    """Names of the files of a folder."""
+    there = shared_files.local(folder)
+    if there is not None:
+        with os.scandir(there) as found:
+            yield from (x.name for x in found if x.is_file())
+        return
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(folder)
+    yield from (x.base_name for x in system.get_file_info(fs.FileSelector(at)) if x.is_file)
